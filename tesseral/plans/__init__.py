@@ -1 +1 @@
-"""Formula compiler, posterior model and the query catalogue."""
+"""The query catalogue."""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tesseral.plans import record_queries
+from tesseral.plans import record_queries, survey_queries
 
-_MODULES = (record_queries,)
+_MODULES = (record_queries, survey_queries)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in _MODULES for k, q in m.ORACLE.items()}
