@@ -46,29 +46,30 @@ def is_damaged_form(a: str, b: str) -> bool:
     return shorter >= 4 and edit_distance_at_most(a, b, max(1, shorter // 4))
 
 
-def longest_passage(state: np.ndarray, least: int, damaged_of: int) -> tuple[int, int] | None:
-    """First and last place of the longest run that counts as a passage, or None.
+def passage_spans(state: np.ndarray, least: int, damaged_of: int) -> list[tuple[int, int]]:
+    """First and last place of each stretch whose words all belong to a passage.
 
     ``state`` is 0 where two words agree, 1 where one is a damaged form of the other
     and 2 where they differ; a passage has no 2, at least ``least`` words and at most
-    one damaged word in ``damaged_of``.
+    one damaged word in ``damaged_of``.  Passages that overlap come out as one stretch.
     """
-    best = None
+    out: list[tuple[int, int]] = []
     start = 0
-    breaks = np.append(np.flatnonzero(state == 2), len(state))
-    for end in breaks:
-        if end - start >= least:
-            total = np.concatenate(([0], np.cumsum(state[start:end])))
-            n = end - start
-            for size in range(n, least - 1, -1):
-                if best and size <= best[1] - best[0] + 1:
-                    break
-                good = np.flatnonzero((total[size:] - total[:-size]) * damaged_of <= size)
-                if len(good):
-                    best = (int(start + good[0]), int(start + good[0] + size - 1))
-                    break
-        start = end + 1
-    return best
+    for stop in np.append(np.flatnonzero(state == 2), len(state)):
+        n = int(stop - start)
+        if n >= least:
+            # words a to b - 1 have few enough damaged ones where excess[b] <= excess[a]
+            excess = damaged_of * np.concatenate(([0], np.cumsum(state[start:stop]))) - np.arange(n + 1)
+            lowest = np.minimum.accumulate(excess[::-1])[::-1]
+            ends = np.searchsorted(lowest, excess[:-1], side="right") - 1  # the longest passage from each place
+            for a in np.flatnonzero(ends - np.arange(n) >= least):
+                first, last = int(start + a), int(start + ends[a] - 1)
+                if out and first <= out[-1][1]:
+                    out[-1] = (out[-1][0], max(last, out[-1][1]))
+                else:
+                    out.append((first, last))
+        start = int(stop) + 1
+    return out
 
 
 @dataclass
@@ -131,9 +132,10 @@ class _Tokens(dict):
 
 
 def find_leaks(texts: list[str | None], index: SeedIndex, tokens: dict | None = None) -> list[tuple[int, int, int, int]]:
-    """(place of the text, place of the item, first word, last word) of every leak in a batch.
+    """(place of the text, place of the item, first word, last word) of every leaked stretch in a batch.
 
-    Word places count the spoken words of the text from 0.
+    Word places count the spoken words of the text from 0.  A pair has as many rows as its
+    text holds stretches of the item.
     """
     tokens = _Tokens(index) if tokens is None else tokens
     docs, bones, exact_of, bounds = [], [], [], [0]
@@ -171,7 +173,7 @@ def find_leaks(texts: list[str | None], index: SeedIndex, tokens: dict | None =
     sizes = np.arange(index.least, 2 * index.least + index.damaged_of)
     need = max(1, int(np.min(sizes - SEED_WORDS + 1 - SEED_WORDS * (sizes // index.damaged_of))))
     spared = index.least - int(np.max(sizes[: index.least] // index.damaged_of))
-    out: dict[tuple[int, int], tuple[int, int]] = {}
+    out: set[tuple[int, int, int, int]] = set()
     for d, k, diag in pairs[:, seeds >= need].T:
         ws = index.words[k]
         lo, hi = max(0, diag), min(len(docs[d]), diag + len(ws))
@@ -187,13 +189,8 @@ def find_leaks(texts: list[str | None], index: SeedIndex, tokens: dict | None =
         for x in np.flatnonzero(state == 2):
             if is_damaged_form(docs[d][lo + x][2], ws[lo + x - diag]):
                 state[x] = 1
-        found = longest_passage(state, index.least, index.damaged_of)
-        if found:
-            a, b = int(lo + found[0]), int(lo + found[1])
-            old = out.get((int(d), int(k)))
-            if old is None or b - a > old[1] - old[0]:
-                out[int(d), int(k)] = (a, b)
-    return [(d, k, a, b) for (d, k), (a, b) in out.items()]
+        out.update((int(d), int(k), int(lo + a), int(lo + z)) for a, z in passage_spans(state, index.least, index.damaged_of))
+    return sorted(out)
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least_words: int = 15, damaged_of: int = 6, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
@@ -201,11 +198,12 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_i
 
     A passage is at least ``least_words`` consecutive words of an item's text that stand
     as consecutive spoken words in the document, with at most one word in ``damaged_of``
-    damaged.  Result: doc_id, item_id, first_word, last_word (the longest passage of the
-    pair, in spoken words from 0), one row per pair and per distinct document id and item id.
+    damaged.  Result: doc_id, item_id, first_word, last_word (in spoken words from 0), one
+    row per stretch of passages: a pair has several rows where the document holds the item
+    more than once or in parts.
 
     Null, empty and short texts, on either side, leak nothing; items that share a text are
-    all reported; repeated documents and items are reported once.  Other columns are ignored.
+    all reported; rows of repeated documents and items come once.  Other columns are ignored.
 
     The index of the items is broadcast.  Its size is bound by ``items_per_block``: more
     items are searched in blocks, one pass over the documents for each.
@@ -235,8 +233,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_i
         types = dict(documents.select(F.col(doc_id).alias("d")).dtypes) | dict(ids.dtypes)
         found = docs.mapInPandas(scan, f"doc_id {types['d']}, item_id {types['item_id']}, first_word int, last_word int")
         out = found if out is None else out.unionByName(found)
-    longest = F.max(F.struct(F.col("last_word") - F.col("first_word"), -F.col("first_word"), F.col("first_word"), F.col("last_word")))
-    return out.groupBy("doc_id", "item_id").agg(longest.alias("m")).select("doc_id", "item_id", "m.first_word", "m.last_word")
+    return out.distinct()
 
 
 def remove_leaking_documents(documents: DataFrame, leaks: DataFrame, doc_id: str = "doc_id") -> DataFrame:

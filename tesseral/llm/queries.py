@@ -66,7 +66,7 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
 def p8_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
