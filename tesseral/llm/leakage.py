@@ -39,10 +39,16 @@ def edit_distance_at_most(a: str, b: str, most: int) -> bool:
 
 
 def is_damaged_form(a: str, b: str) -> bool:
-    """Whether two different folded words may be one word with damaged characters."""
+    """Whether two different folded words may be one word with damaged characters.
+
+    Words of 3 characters may have one changed; in shorter ones that mostly makes another
+    word (if, of), so that only their skeletons count.
+    """
     if spoken.skeleton(a) == spoken.skeleton(b):
         return True
     shorter = min(len(a), len(b))
+    if shorter == 3 and len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
     return shorter >= 4 and edit_distance_at_most(a, b, max(1, shorter // 4))
 
 

@@ -106,9 +106,9 @@ def fold(token: str) -> str:
 
 
 #: Characters that optical recognition takes for one another.
-_LIKE = {"0": "o", "1": "l", "i": "l", "|": "l", "!": "l", "9": "g", "q": "g", "5": "s", "8": "b", "f": "t", "3": "e", "6": "b", "7": "t", "4": "a", "2": "z", "$": "s", "@": "a", "ß": "b"}
+_LIKE = {"0": "o", "1": "l", "i": "l", "|": "l", "!": "l", "9": "g", "q": "g", "5": "s", "8": "b", "f": "t", "3": "e", "c": "e", "6": "b", "7": "t", "4": "a", "2": "z", "$": "s", "@": "a", "ß": "b"}
 #: Character pairs that are read as one character, and back.
-_PAIRS = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ll", "h"))
+_PAIRS = (("rn", "m"), ("el", "d"), ("vv", "w"), ("ll", "h"))  # as the table above leaves them: "el" is "cl"
 _LIKE_TABLE = str.maketrans(_LIKE)
 _MARKS = re.compile(r"[\u0300-\u036f]")
 

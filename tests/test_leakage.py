@@ -34,3 +34,17 @@ def test_all_passages_are_blanked_and_a_pair_is_found_once(spark):
     got = leakage.leaked_passages(docs, items)
     assert got.count() == 2
     assert [r["clean_text"] for r in leakage.blank_leaked_spans(docs, got).collect()] == [OTHER]
+
+
+def test_damaged_short_words():
+    for a, b in (("thc", "the"), ("ivc", "ive"), ("dcr", "der"), ("hin", "him"), ("clay", "day")):
+        assert leakage.is_damaged_form(a, b)
+    for a, b in (("if", "of"), ("we", "is"), ("the", "then"), ("a", "o")):
+        assert not leakage.is_damaged_form(a, b)
+
+
+def test_a_damaged_short_word_does_not_break_a_passage():
+    words = [*ITEM[:8], "the", *ITEM[8:15]]
+    for damaged in ("thc", "tho"):
+        text = " ".join([*words[:8], damaged, *words[9:]])
+        assert leaks(text, " ".join(words)) == [(0, 0, 0, 15)]
