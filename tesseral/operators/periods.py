@@ -57,6 +57,7 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, t
     seen = seen.withColumn("swallowed", F.expr("size(filter(starts, x -> carry is not null and try_subtract(x, 1L) <= carry))")).where("swallowed < size(starts)")
     seen = seen.withColumn("gap_end", F.expr("greatest(carry, if(swallowed > 0, ends[swallowed - 1], null))"))
     seen = scratch.table(seen)
+    scratch.keep_only(seen)
     inner = F.expr(
         """filter(flatten(transform(starts, (x, i) -> array(
              named_struct('kind', 'period', 'first_pos', if(i >= swallowed and i < size(starts) - 1, x, null), 'last_pos', ends[i]),
