@@ -1,9 +1,9 @@
 """Typed loading of delimited records that sets broken rows apart with their reason.
 
-Each worker writes its records to files of its own and reads them with DuckDB's CSV
-reader and its reject tables: records without quotes or line feeds in one file, each
-other one in a file of its own, so that an unclosed quote can't swallow its neighbours.
-Line-level errors are joined back to the records.
+Each worker writes a batch of records to a file of its own and reads it with DuckDB's CSV
+reader and its reject tables, whose line-level errors are joined back to the records.
+Records whose quotes don't pair up are read from files of their own, so that an unclosed
+quote can't swallow its neighbours.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ import os
 import re
 import shutil
 import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,88 +58,90 @@ VARIANT_ROWS = RowFormat(
         ("bad_svtype", "coalesce(svtype, '') NOT IN ('', '.', 'DEL', 'INS', 'DUP', 'INV', 'CNV', 'BND')"),
     ),
 )
-_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
-_WELL_QUOTED = re.compile(rf"{_FIELD}(?:,{_FIELD})*", re.S)
-_ONE_FIELD = re.compile(rf"({_FIELD})(?:,|$)", re.S)
+#: One field of a well-quoted record, and the whole record.
+FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
+RECORD = rf"{FIELD}(?:,{FIELD})*"
+_ONE_FIELD = re.compile(rf"({FIELD})(?:,|$)", re.S)
 #: Records that one call of the reader takes.
-BATCH = 4000
+BATCH = 10_000
 
 
-def _well_quoted(line: str) -> bool:
-    return line.count('"') % 2 == 0 and _WELL_QUOTED.fullmatch(line) is not None
-
-
-def _fields(line: str) -> list[str]:
-    """The unquoted fields of a well-quoted record."""
+def _requoted(line: str) -> str:
+    """A well-quoted record with line feeds outside quotes, written with every field quoted."""
     out, at = [], 0
     while at <= len(line):
         m = _ONE_FIELD.match(line, at)
         f = m.group(1)
-        out.append(f[1:-1].replace('""', '"') if f.startswith('"') else f)
-        if m.end() == len(line) and not line.endswith(",", m.start(), m.end()):
+        if f or m.end() < len(line) or line.endswith(",") or at == 0:
+            out.append(f if f.startswith('"') else f'"{f}"' if f else "")
+        if m.end() == len(line) and not m.group(0).endswith(","):
             break
         at = m.end()
-    return out
+        if at == len(line):
+            out.append("")
+            break
+    return ",".join(out)
+
+
+def _read(con, table: str, files: list[str], names: list[str]) -> list[tuple[str, int, str]]:
+    """Read files into ``table``; the errors as (file, line, kind)."""
+    columns = {"__at": "INTEGER"} | {n: "VARCHAR" for n in names}
+    con.execute(f"DROP TABLE IF EXISTS reject_errors; DROP TABLE IF EXISTS reject_scans; DROP TABLE IF EXISTS {table}")
+    con.execute(
+        f"""CREATE TABLE {table} AS SELECT * FROM read_csv({files}, header = false, auto_detect = false, delim = ',', quote = '"', escape = '"',
+            strict_mode = true, nullstr = '', max_line_size = 50000000, columns = {columns}, store_rejects = true, rejects_limit = 0, parallel = false)"""
+    )
+    return con.execute("SELECT s.file_path, e.line, e.error_type FROM reject_errors e JOIN reject_scans s USING (scan_id, file_id)").fetchall()
 
 
-def read_batch(con, lines: Sequence[str | None], fmt: RowFormat) -> pd.DataFrame:
-    """Columns of ``fmt``, ``reason`` and ``at`` (place of the line) of a batch of records."""
+def read_batch(con, lines: pa.Array, fmt: RowFormat) -> pa.Table:
+    """``place`` of the line in the batch, ``reason`` and the columns of ``fmt`` of a batch of records.
+
+    The reader and its reject tables decide; an exact check of the quoting rule follows for
+    records with quotes, since the reader lets a quote inside an unquoted field pass.
+    """
     names = [n for n, *_ in fmt.columns]
+    con.register("__lines", pa.table({"place": pa.array(range(len(lines)), pa.int32()), "line": lines}))
+    con.execute(
+        f"""CREATE OR REPLACE TABLE raw AS SELECT *, quoted AND NOT regexp_full_match(line, '{RECORD}') AS ill,
+            regexp_matches(CASE WHEN quoted THEN regexp_replace(line, '"[^"]*"', '', 'g') ELSE line END, '[\\n\\r]') AS broken,
+            quoted AND (length(line) - length(replace(line, '"', ''))) % 2 = 1 AS odd
+            FROM (SELECT *, contains(line, '"') AS quoted FROM __lines WHERE line <> '')"""
+    )
+    together = con.execute("SELECT place, line, broken FROM raw WHERE NOT odd AND NOT (broken AND ill) ORDER BY place").fetchall()
+    alone = con.execute("SELECT place, line FROM raw WHERE odd OR (broken AND ill)").fetchall()
     folder = tempfile.mkdtemp(prefix="rejects-")
+    errors: dict[int, str] = {}
     try:
-        plain, alone = [], []
-        for i, x in enumerate(lines):
-            if x:
-                (alone if '"' in x or "\n" in x or "\r" in x else plain).append(i)
-        files = []
-        if plain:
-            files.append(os.path.join(folder, "plain.csv"))
-            with open(files[0], "w", encoding="utf-8", newline="") as f:
-                f.writelines(f"{i},{lines[i]}\n" for i in plain)
-        for i in alone:
-            files.append(os.path.join(folder, f"{i}.csv"))
-            with open(files[-1], "w", encoding="utf-8", newline="") as f:
-                f.write(f"{i},{lines[i]}\n")
-        errors: dict[int, str] = {}
-        if files:
-            columns = {"__at": "INTEGER"} | {n: "VARCHAR" for n in names}
-            con.execute("DROP TABLE IF EXISTS reject_errors; DROP TABLE IF EXISTS reject_scans; DROP TABLE IF EXISTS parsed")
-            con.execute(
-                f"""CREATE TABLE parsed AS SELECT * FROM read_csv({files}, header = false, auto_detect = false, delim = ',', quote = '"', escape = '"',
-                    strict_mode = true, nullstr = '', max_line_size = 50000000, columns = {columns}, store_rejects = true, rejects_limit = 0, parallel = false)"""
-            )
-            for path, line, kind in con.execute("SELECT s.file_path, e.line, e.error_type FROM reject_errors e JOIN reject_scans s USING (scan_id, file_id)").fetchall():
-                stem = os.path.basename(path)[:-4]
-                i = plain[line - 1] if stem == "plain" else int(stem)
+        path = os.path.join(folder, "together.csv")
+        with open(path, "w", encoding="utf-8", newline="") as f:
+            f.writelines(f"{i},{_requoted(x) if broken else x}\n" for i, x, broken in together)
+        if together:
+            for _, line, kind in _read(con, "parsed", [path], names):
+                i = together[line - 1][0]
                 reason = "column_count" if kind in ("MISSING COLUMNS", "TOO MANY COLUMNS") else "quoting"
                 errors[i] = "quoting" if "quoting" in (reason, errors.get(i)) else reason
         else:
             con.execute("CREATE OR REPLACE TABLE parsed AS SELECT 0 AS __at, " + ", ".join(f"''::VARCHAR AS \"{n}\"" for n in names) + " WHERE false")
-        # the exact check: what the reader takes for good or bad quoting is settled by the rule itself
-        mended = []
-        good = dict.fromkeys((r[0] for r in con.execute("SELECT __at FROM parsed").fetchall()), True)
-        for i, x in enumerate(lines):
-            if not x:
-                errors[i] = "column_count"
-            elif '"' in x and not _well_quoted(x):
-                errors[i] = "quoting"
-                good.pop(i, None)
-            elif i not in good and (errors.get(i) != "column_count" or "\n" in x or "\r" in x or '"' in x):
-                fields = _fields(x)
-                errors.pop(i, None)
-                if len(fields) == len(names):
-                    mended.append([i, *(f or None for f in fields)])
-                else:
-                    errors[i] = "column_count"
-        if mended:
-            con.executemany("INSERT INTO parsed VALUES (" + ", ".join("?" * (len(names) + 1)) + ")", mended)
-        reason = "CASE " + " ".join(f"WHEN {p} THEN '{r}'" for r, p in fmt.checks) + " END"
-        typed = ", ".join(f'try_cast("{n}" AS {t}) AS "{n}"' for n, t, _ in fmt.columns)
-        rows = con.execute(f"SELECT __at AS at, {reason} AS reason, {typed} FROM (SELECT * FROM parsed WHERE NOT list_contains(?, __at))", [list(errors)]).df() if errors else con.execute(f"SELECT __at AS at, {reason} AS reason, {typed} FROM parsed").df()
-        failed = pd.DataFrame({"at": list(errors), "reason": list(errors.values())})
-        return pd.concat([rows, failed], ignore_index=True) if len(failed) else rows
+        if alone:
+            files = []
+            for i, x in alone:
+                files.append(os.path.join(folder, f"{i}.csv"))
+                with open(files[-1], "w", encoding="utf-8", newline="") as f:
+                    f.write(f"{i},{x}\n")
+            for file, _, kind in _read(con, "apart", files, names):
+                errors[int(os.path.basename(file)[:-4])] = "column_count" if kind in ("MISSING COLUMNS", "TOO MANY COLUMNS") else "quoting"
     finally:
         shutil.rmtree(folder, ignore_errors=True)
+    con.register("__errors", pa.table({"place": pa.array(list(errors), pa.int32()), "reason": pa.array(list(errors.values()), pa.string())}))
+    checks = " ".join(f"WHEN {p} THEN '{r}'" for r, p in fmt.checks)
+    typed = ", ".join(f'CASE WHEN reason IS NULL THEN try_cast("{n}" AS {t}) END AS "{n}"' for n, t, _ in fmt.columns)
+    return con.sql(
+        f"""SELECT place, reason, {typed} FROM (
+            SELECT l.place, p.*, CASE WHEN coalesce(l.line, '') = '' THEN 'column_count' WHEN r.ill THEN 'quoting' WHEN e.reason IS NOT NULL THEN e.reason
+                WHEN p.__at IS NULL THEN 'column_count' {checks} END AS reason
+            FROM __lines l LEFT JOIN raw r USING (place) LEFT JOIN __errors e USING (place) LEFT JOIN parsed p ON p.__at = l.place)"""
+    ).to_arrow_table()
 
 
 def parse_rows(df: DataFrame, row_id: str, line: str, fmt: RowFormat = VARIANT_ROWS) -> DataFrame:
@@ -152,23 +155,20 @@ def parse_rows(df: DataFrame, row_id: str, line: str, fmt: RowFormat = VARIANT_R
     out_names = [f"{n}_field" if n == row_id else n for n, *_ in fmt.columns]
     schema = f"`{row_id}` {kind}, reason string, " + ", ".join(f"`{o}` {s}" for o, (_, _, s) in zip(out_names, fmt.columns))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
         con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         for b in batches:
             for lo in range(0, len(b), BATCH):
-                part = b.iloc[lo : lo + BATCH]
-                got = read_batch(con, part["__line"].tolist(), fmt)
-                ids = part["__id"].to_numpy()
-                out = {row_id: pd.Series(ids[got["at"].to_numpy()]), "reason": got["reason"].where(got["reason"].notna(), None)}
-                for o, (n, _, s) in zip(out_names, fmt.columns):
-                    c = got[n] if n in got else pd.Series([None] * len(got))
-                    c = c.where(got["reason"].isna(), None)
-                    out[o] = c.astype("Int64") if s in ("int", "bigint") else c.astype("float64") if s == "double" else c.astype(object).where(c.notna(), None)
-                yield pd.DataFrame(out)
-
-    return df.select(F.col(row_id).alias("__id"), F.col(line).alias("__line")).mapInPandas(run, schema)
+                part = b.slice(lo, BATCH)
+                got = read_batch(con, part.column(1).cast(pa.string()), fmt)
+                ids = pc.take(part.column(0), got.column("place"))
+                columns = [ids] + [got.column(i + 1).combine_chunks() for i in range(len(names) + 1)]
+                yield from pa.table(columns, names=[row_id, "reason", *out_names]).to_batches()
+
+    names = [n for n, *_ in fmt.columns]
+    return df.select(F.col(row_id).alias("__id"), F.col(line).alias("__line")).mapInArrow(run, schema)
 
 
 def valid_rows(parsed: DataFrame) -> DataFrame:
