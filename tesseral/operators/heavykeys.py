@@ -11,31 +11,55 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesseral.session import Scratch
+from tesseral.session import Scratch, running
 
 #: Keys one split accumulates before it hands its arrays over and starts anew.
 KEYS_PER_ARRAY = 1 << 18
+#: Keys of equal row count that one task picks the smallest from; more are ranked in slices.
+TIES_IN_ONE_TASK = 100_000
+
+
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _start(how: str, whole: bool) -> float | int:
+    """What an accumulator holds before any value."""
+    if how not in ("min", "max"):
+        return 0
+    if whole:
+        return np.iinfo(np.int64).max if how == "min" else np.iinfo(np.int64).min
+    return np.inf if how == "min" else -np.inf
 
 
 def _scatter(codes: np.ndarray, size: int, values: np.ndarray, how: str) -> np.ndarray:
+    whole = values.dtype == np.int64
     if how == "sum":
-        return np.bincount(codes, weights=values, minlength=size)
-    out = np.full(size, np.inf if how == "min" else -np.inf)
+        about = np.bincount(codes, weights=values, minlength=size)
+        if not whole:
+            return about
+        if np.abs(about).max(initial=0) > 9.2e18:
+            raise ArithmeticError("a sum of whole numbers exceeds 64 bits")
+        out = np.zeros(size, np.int64)
+        np.add.at(out, codes, values)
+        return out
+    out = np.full(size, _start(how, whole), dtype=values.dtype)
     (np.minimum if how == "min" else np.maximum).at(out, codes, values)
     return out
 
 
-def dense_aggregate(df: DataFrame, key: str, sums: Sequence[str] = (), minima: Sequence[str] = (), maxima: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
+def dense_aggregate(df: DataFrame, key: str, sums: Sequence[str] = (), minima: Sequence[str] = (), maxima: Sequence[str] = (), blocks: int | None = None, null_key: bool = False) -> DataFrame:
     """Row counts, and sums, minima and maxima of numeric columns, per value of ``key``.
 
     Result: ``key_value`` (of the key's type), ``n_rows`` and for each asked column
     ``n_<c>`` (values that are neither null nor NaN), ``sum_<c>``, ``min_<c>``, ``max_<c>``
-    (doubles, null if there is no value).  A null key is not a value: its rows are left out.
-    An empty table gives no row.  Sums are of doubles, in no fixed order.
+    (null if there is no value): whole numbers stay whole numbers of 64 bits, and a sum beyond
+    them is an error; others are doubles, summed in no fixed order.  A null key is not a
+    value: its rows are left out, or with ``null_key`` counted in a row of their own.  An empty
+    table gives no row.
 
     The dictionary never has to fit anywhere as a whole: a split hands its arrays over in
     blocks of keys by hash, and block by block they are aligned and added.
@@ -45,16 +69,23 @@ def dense_aggregate(df: DataFrame, key: str, sums: Sequence[str] = (), minima: S
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     wanted = [(c, h) for h, cs in (("sum", sums), ("min", minima), ("max", maxima)) for c in cs]
     columns = list(dict.fromkeys(c for c, _ in wanted))
+    types = dict(df.dtypes)
+    whole = {c: types[c] in _WHOLE for c in columns}
+    of_field = {f"{h}_{c}": (h, c) for c, h in wanted}
+    whole_field = lambda f: f not in of_field or whole[of_field[f][1]]
     fields = [f"n_{c}" for c in columns] + [f"{h}_{c}" for c, h in wanted]
     schema = T.StructType(
         [T.StructField("block", T.IntegerType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("n_rows", T.ArrayType(T.LongType()))]
-        + [T.StructField(f, T.ArrayType(T.DoubleType())) for f in fields]
+        + [T.StructField(f, T.ArrayType(T.LongType() if whole_field(f) else T.DoubleType())) for f in fields]
     )
 
+    def empty(f: str) -> np.ndarray:
+        return np.zeros(0, np.int64 if f == "n_rows" or whole_field(f) else np.float64)
+
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code_of: dict = {}
-        acc = {f: np.zeros(0) for f in ["n_rows", *fields]}
-        start = {"min": np.inf, "max": -np.inf}
+        acc = {f: empty(f) for f in ["n_rows", *fields]}
 
         def hand_over() -> Iterator[pa.RecordBatch]:
             names = pa.array(list(code_of), type=None if not code_of else key_type)
@@ -71,26 +102,29 @@ def dense_aggregate(df: DataFrame, key: str, sums: Sequence[str] = (), minima: S
             yield pa.RecordBatch.from_pydict(out)
             code_of.clear()
             for f in acc:
-                acc[f] = np.zeros(0)
+                acc[f] = empty(f)
 
         key_type = None
         for b in batches:
             col = b.column(0)
             key_type = col.type
-            live = np.asarray(col.is_valid())
+            live = np.ones(len(col), bool) if null_key else np.asarray(col.is_valid())
             if not live.any():
                 continue
-            local = col.filter(pa.array(live)).dictionary_encode()
+            local = col.filter(pa.array(live)).dictionary_encode(null_encoding="encode")
             to_code = np.array([code_of.setdefault(k, len(code_of)) for k in local.dictionary.to_pylist()], dtype=np.int64)
             codes = to_code[np.asarray(local.indices)]
             size = len(code_of)
             for f in acc:
-                fill = start.get(f.split("_", 1)[0], 0.0)
-                acc[f] = np.concatenate([acc[f], np.full(size - len(acc[f]), fill)])
+                fill = _start(of_field[f][0], whole_field(f)) if f in of_field else 0
+                acc[f] = np.concatenate([acc[f], np.full(size - len(acc[f]), fill, dtype=acc[f].dtype)])
             acc["n_rows"] += np.bincount(codes, minlength=size)
             for i, c in enumerate(columns, 1):
-                v = b.column(i).to_numpy(zero_copy_only=False).astype(np.float64)[live]
-                ok = ~np.isnan(v)
+                x = b.column(i)
+                ok = np.asarray(x.is_valid())[live]
+                v = x.fill_null(0).to_numpy(zero_copy_only=False)[live]
+                if not whole[c]:
+                    ok &= ~np.isnan(v)
                 acc[f"n_{c}"] += np.bincount(codes[ok], minlength=size)
                 for c2, h in wanted:
                     if c2 == c:
@@ -104,26 +138,24 @@ def dense_aggregate(df: DataFrame, key: str, sums: Sequence[str] = (), minima: S
     def add_up(table: pa.Table) -> pa.Table:
         keys = table.column("keys").combine_chunks()
         flat = keys.flatten() if isinstance(keys, pa.ListArray) else pa.chunked_array([k.flatten() for k in keys.chunks]).combine_chunks()
-        encoded = flat.dictionary_encode()
+        encoded = flat.dictionary_encode(null_encoding="encode")
         if isinstance(encoded, pa.ChunkedArray):
             encoded = encoded.combine_chunks()
         codes, size = np.asarray(encoded.indices), len(encoded.dictionary)
-        values = {f: np.concatenate([np.asarray(c.flatten(), dtype=np.float64) for c in table.column(f).chunks]) for f in ["n_rows", *fields]}
-        n = np.zeros(size, np.int64)
-        np.add.at(n, codes, values["n_rows"].astype(np.int64))
-        out = {"key_value": encoded.dictionary, "n_rows": pa.array(n)}
-        count = {c: np.bincount(codes, weights=values[f"n_{c}"], minlength=size) for c in columns}
+        values = {f: np.concatenate([np.asarray(c.flatten()) for c in table.column(f).chunks]) for f in ["n_rows", *fields]}
+        out = {"key_value": encoded.dictionary, "n_rows": pa.array(_scatter(codes, size, values["n_rows"], "sum"))}
+        count = {c: _scatter(codes, size, values[f"n_{c}"], "sum") for c in columns}
         for c in columns:
-            out[f"n_{c}"] = pa.array(count[c].astype(np.int64))
+            out[f"n_{c}"] = pa.array(count[c])
         for c, h in wanted:
             v = _scatter(codes, size, values[f"{h}_{c}"], h)
             out[f"{h}_{c}"] = pa.array(v, mask=count[c] == 0)
         return pa.table(out)
 
     final = T.StructType(
-        [T.StructField("key_value", kind), T.StructField("n_rows", T.LongType())] + [T.StructField(f"n_{c}", T.LongType()) for c in columns] + [T.StructField(f"{h}_{c}", T.DoubleType()) for c, h in wanted]
+        [T.StructField("key_value", kind), T.StructField("n_rows", T.LongType())] + [T.StructField(f"n_{c}", T.LongType()) for c in columns] + [T.StructField(f"{h}_{c}", T.LongType() if whole[c] else T.DoubleType()) for c, h in wanted]
     )
-    slim = df.select(F.col(key).alias("__key"), *(F.col(c).cast("double").alias(f"__{c}") for c in columns))
+    slim = df.select(F.col(key).alias("__key"), *(F.col(c).cast("bigint" if whole[c] else "double").alias(f"__{c}") for c in columns))
     return slim.mapInArrow(split, schema).groupBy("block").applyInArrow(add_up, final)
 
 
@@ -143,8 +175,6 @@ def fewest_majority_keys(counts: DataFrame, total: int, key: str = "key_value",
     Instead of a running sum over all keys, the keys are first grouped by their row count:
     of N rows there are at most sqrt(2 N) different counts, a bound on what one task sees.
     """
-    from pyspark.sql import Window
-
     by_count = counts.groupBy(F.col(rows).alias("c")).agg(F.count("*").alias("k"))
     order = Window.orderBy(F.col("c").desc())
     upto = by_count.withColumn("upto", F.sum(F.col("c") * F.col("k")).over(order)).where(F.col("upto") * 2 > total)
@@ -153,7 +183,12 @@ def fewest_majority_keys(counts: DataFrame, total: int, key: str = "key_value",
         return counts
     c, before = edge[0]["c"], edge[0]["upto"] - edge[0]["c"] * edge[0]["k"]
     ties = (total // 2 - before) // c + 1
-    return counts.where(F.col(rows) > c).unionByName(counts.where(F.col(rows) == c).orderBy(key).limit(int(ties)))
+    tied = counts.where(F.col(rows) == c)
+    if ties <= TIES_IN_ONE_TASK:
+        first = tied.orderBy(key).limit(int(ties))
+    else:
+        first = running(Scratch(counts.sparkSession), tied, [key], {"__rank": F.lit(1)}).where(F.col("__rank") <= ties).drop("__rank")
+    return counts.where(F.col(rows) > c).unionByName(first)
 
 
 def majority_keys(df: DataFrame, key: str, name: str | None = None) -> DataFrame:
@@ -162,6 +197,7 @@ def majority_keys(df: DataFrame, key: str, name: str | None = None) -> DataFrame
     All stored rows count in the total, also those whose key is null; null is not a value.
     """
     scratch = Scratch(df.sparkSession)
-    counts = scratch.table(dense_aggregate(df.select(F.col(key)), key))
-    total = df.count()
-    return fewest_majority_keys(counts, total).select(F.lit(name or key).alias("field_name"), F.col("key_value").cast("string").alias("key_value"))
+    counts = scratch.table(dense_aggregate(df.select(F.col(key)), key, null_key=True))
+    total = counts.agg(F.sum("n_rows")).first()[0] or 0
+    keys = counts.where(F.col("key_value").isNotNull())
+    return fewest_majority_keys(keys, total).select(F.lit(name or key).alias("field_name"), F.col("key_value").cast("string").alias("key_value"))

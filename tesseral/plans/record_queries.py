@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.operators import heavykeys, packed, periods, rejects
-from tesseral.session import Scratch
+from tesseral.session import Scratch, drop_repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,7 +49,10 @@ def p5_typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = Scratch(spark).table(_read(spark, sf_dir, "calls").select("call_id", "ann", "aux_values").where("ann is not null or aux_values is not null").dropDuplicates(["call_id"]))
+    scratch = Scratch(spark)
+    packed_rows = _read(spark, sf_dir, "calls").select("call_id", "ann", "aux_values").where("ann is not null or aux_values is not null")
+    once = scratch.table(drop_repeats(scratch, packed_rows, ["call_id"]))
+    scratch.keep_only(once)
     out = None
     for field, separators in (("ann", ",;\n"), ("aux_values", ",;|\t")):
         part = packed.split_packed(once, "call_id", field, separators).select("call_id", F.lit(field).alias("field_name"), "pos_no", "item_value")
@@ -59,7 +62,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_chrom_results, p3_rid_results, p4_found, p5_found, p5_typed_rows, p6_found)}
 
+_F = rejects.FIELD
+_ROW = "^" + ",".join([f"({_F})"] * 11) + "$"
+_NAMES = [n for n, *_ in rejects.VARIANT_ROWS.columns]
+_CHECKED = f"""
+    WITH r AS (SELECT raw_id, line, regexp_replace(line, '"[^"]*"', '', 'g') AS bare FROM raw_records),
+    f AS (SELECT *, regexp_full_match(line, '{rejects.RECORD}') AS well, length(bare) - length(replace(bare, ',', '')) + 1 AS n_fields,
+        regexp_extract(line, '{_ROW}', {_NAMES}) AS c FROM r),
+    u AS (SELECT raw_id, well, n_fields, {", ".join(f"""nullif(CASE WHEN c['{n}'] LIKE '"%' THEN replace(substr(c['{n}'], 2, length(c['{n}']) - 2), '""', '"') ELSE c['{n}'] END, '') AS "{n}\"""" for n in _NAMES)} FROM f),
+    checked AS (SELECT *, CASE WHEN NOT well THEN 'quoting' WHEN n_fields <> 11 THEN 'column_count'
+        {" ".join(f"WHEN {p} THEN '{r}'" for r, p in rejects.VARIANT_ROWS.checks)} END AS reason FROM u)
+"""
+
 ORACLE = {
+    "p5_found": _CHECKED + "SELECT raw_id, reason FROM checked WHERE reason IS NOT NULL",
+    "p5_typed_rows": _CHECKED + "SELECT raw_id, " + ", ".join(f'try_cast("{n}" AS {t}) AS "{n}"' for n, t, _ in rejects.VARIANT_ROWS.columns) + " FROM checked WHERE reason IS NULL",
     "p3_found": """
         WITH c AS (SELECT 'chrom' AS field_name, chrom AS k, count(*) AS n, chrom AS s, 0 AS o FROM calls WHERE chrom IS NOT NULL GROUP BY chrom
                    UNION ALL SELECT 'rid', CAST(rid AS VARCHAR), count(*), '', rid FROM work_items WHERE rid IS NOT NULL GROUP BY rid),
