@@ -26,45 +26,46 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ho
     of a component leads to its smallest neighbour.  Ranks differ, hence the chosen edges
     form trees, in each of which just one edge is chosen from both ends: its smaller end
     is the root and the smallest node of the tree.  Every round at least halves the
-    components that still have edges.  All steps are aggregations with partial sums on the
+    components that still have edges, and the tables of a round are written, so that no plan
+    grows with the rounds.  All steps are aggregations with partial sums on the
     map side and look-ups that a hub can't clog; each ends in a written table.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(edges.sparkSession)
     ends = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).dropna()
-    loops = ends.where("u = v").select(F.col("u").alias("node")).distinct()
-    live = scratch.table(ends.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    every = scratch.table(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    live = every.where("u <> v")
     rounds: list[DataFrame] = []
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         chosen = scratch.table(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("parent")))
         # the edge chosen from both ends: its smaller end becomes the root; all others already skip one step
-        up = lookup(chosen, "parent", chosen, "node", "parent", "up", hot_rows)
+        up = lookup(scratch, chosen, "parent", chosen, "node", "parent", "up", hot_rows)
         rooted = F.col("node") == F.col("up")
         tree = scratch.table(up.select("node", F.when(rooted & (F.col("node") < F.col("parent")), F.col("node")).when(rooted, F.col("parent")).otherwise(F.col("up")).alias("parent"), (~rooted).alias("open")))
         # a step over the mutual edge may have led to the larger end; its own parent is the root then
-        while True:
-            if tree.where("open").isEmpty():
-                break
-            up = lookup(tree, "parent", tree, "node", "parent", "up", hot_rows)
+        while not tree.where("open").isEmpty():
+            up = lookup(scratch, tree, "parent", tree, "node", "parent", "up", hot_rows)
             doubled = scratch.table(up.select("node", F.col("up").alias("parent"), (F.col("up") != F.col("parent")).alias("open")))
             scratch.drop(tree)
             tree = doubled
         rounds.append(tree)
-        one = lookup(live, "u", tree, "node", "parent", "a", hot_rows)
-        two = lookup(one, "v", tree, "node", "parent", "b", hot_rows)
+        one = scratch.table(lookup(scratch, live, "u", tree, "node", "parent", "a", hot_rows))
+        two = lookup(scratch, one, "v", tree, "node", "parent", "b", hot_rows)
         left_over = scratch.table(two.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-        scratch.drop(chosen, live)
+        scratch.keep_only(every, left_over, *rounds)
         live = left_over
+    loops = every.where("u = v").select(F.col("u").alias("node"))
     if not rounds:
         return loops.select("node", F.col("node").alias("component"))
-    result = rounds[0].select("node", F.col("parent").alias("component"))
-    for tree in rounds[1:]:
-        step = lookup(result, "component", tree, "node", "parent", "next", hot_rows)
-        result = step.select("node", F.coalesce("next", "component").alias("component"))
-    alone = loops.join(result.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
-    return result.unionByName(alone)
-
+    # labels from the last round to the first: each round's table is looked up once, in the smaller one after it
+    labels = rounds.pop().select("node", F.col("parent").alias("component"))
+    while rounds:
+        step = lookup(scratch, rounds.pop().select("node", "parent"), "parent", labels, "node", "component", "next", hot_rows)
+        labels = scratch.table(step.select("node", F.coalesce("next", "parent").alias("component")))
+    if loops.isEmpty():
+        return labels
+    alone = loops.join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    return labels.unionByName(alone)
 
 
 def _name(c):
@@ -86,9 +87,11 @@ def name_ties(records: DataFrame, record: str = "call_id", scope: str = "callset
     own = F.struct(F.lit("i").alias("kind"), _name(F.col("n")).alias("name"), F.lit(True).alias("bears"))
     event = F.struct(F.lit("e").alias("kind"), _name(F.col("g")).alias("name"), F.lit(True).alias("bears"))
     mate = F.transform(F.split(F.coalesce("m", F.lit("")), ","), lambda x: F.struct(F.lit("i").alias("kind"), _name(x).alias("name"), F.lit(False).alias("bears")))
-    rows = base.select("r", "s", F.explode(F.concat(F.array(own, event), mate)).alias("x")).where("x.name is not null").select("r", F.struct("s", "x.kind", "x.name").alias("key"), "x.bears")
-    first = rows.groupBy("key").agg(F.min(F.when(F.col("bears"), F.col("r"))).alias("first"), F.count("*").alias("n")).where("first is not null and n > 1").select("key", "first")
-    return lookup(rows.select("r", "key"), "key", first, "key", "first", "v", hot_rows).where("v is not null and r <> v").select(F.col("r").alias("u"), "v").distinct()
+    rows = base.select("r", "s", F.explode(F.concat(F.array(own, event), mate)).alias("x")).where("x.name is not null").select("r", F.struct("s", "x.kind", "x.name").alias("key"), "x.bears").distinct()
+    scratch = Scratch(records.sparkSession)
+    rows = scratch.table(rows)
+    first = scratch.table(rows.groupBy("key").agg(F.min(F.when(F.col("bears"), F.col("r"))).alias("first"), F.count("*").alias("n")).where("first is not null and n > 1").select("key", "first"))
+    return lookup(scratch, rows.select("r", "key"), "key", first, "key", "first", "v", hot_rows).where("v is not null and r <> v").select(F.col("r").alias("u"), "v").distinct()
 
 
 def tied_groups(records: DataFrame, record: str = "call_id", scope: str = "callset_id", name: str = "id", group: str = "event", mates: str = "mateid", hot_rows: int = HOT_ROWS) -> DataFrame:
