@@ -19,8 +19,8 @@ from tesseral.llm import spoken
 
 #: Word n-grams of the seeds.  Of 15 words with 2 damaged, at least 12 - 2 * 4 = 4 windows stay whole.
 SEED_WORDS = 4
-#: Items that one broadcast index may hold; more are searched in blocks of this size.
-ITEMS_PER_BLOCK = 20_000
+#: Characters of item texts that one broadcast index is made from; more are searched in blocks of about this size.
+CHARS_PER_BLOCK = 16_000_000
 _PRIMES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 
 
@@ -137,7 +137,7 @@ class _Tokens(dict):
         return got
 
 
-def find_leaks(texts: list[str | None], index: SeedIndex, tokens: dict | None = None) -> list[tuple[int, int, int, int]]:
+def find_leaks(texts: list[str | None], index: SeedIndex, tokens: dict | None = None, adverts: spoken.Adverts = spoken.NO_ADVERTS) -> list[tuple[int, int, int, int]]:
     """(place of the text, place of the item, first word, last word) of every leaked stretch in a batch.
 
     Word places count the spoken words of the text from 0.  A pair has as many rows as its
@@ -146,7 +146,7 @@ def find_leaks(texts: list[str | None], index: SeedIndex, tokens: dict | None =
     tokens = _Tokens(index) if tokens is None else tokens
     docs, bones, exact_of, bounds = [], [], [], [0]
     for text in texts:
-        got = [g for g in map(tokens.__getitem__, spoken.parts(spoken.spoken_text(text))) if g is not None]
+        got = [g for g in map(tokens.__getitem__, spoken.parts(spoken.spoken_text(text, adverts))) if g is not None]
         docs.append(got)
         bones.extend(g[0] for g in got)
         exact_of.extend(g[1] for g in got)
@@ -199,7 +199,7 @@ def find_leaks(texts: list[str | None], index: SeedIndex, tokens: dict | None =
     return sorted(out)
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least_words: int = 15, damaged_of: int = 6, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least_words: int = 15, damaged_of: int = 6, chars_per_block: int = CHARS_PER_BLOCK) -> DataFrame:
     """Documents that hold a passage of an evaluation item.
 
     A passage is at least ``least_words`` consecutive words of an item's text that stand
@@ -211,29 +211,31 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_i
     Null, empty and short texts, on either side, leak nothing; items that share a text are
     all reported; rows of repeated documents and items come once.  Other columns are ignored.
 
-    The index of the items is broadcast.  Its size is bound by ``items_per_block``: more
-    items are searched in blocks, one pass over the documents for each.
+    The index of the items is broadcast.  Its size is bound by ``chars_per_block``: longer
+    item texts are searched in blocks, one pass over the documents for each.  Adverts are
+    learned from the documents (``spoken.learn_adverts``).
     """
     spark = documents.sparkSession
     ids = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).where(F.col("item_id").isNotNull() & F.col("item_text").isNotNull()).distinct()
-    blocks = max(1, -(-ids.count() // items_per_block))
+    blocks = max(1, -(-int(ids.agg(F.sum(F.length("item_text"))).first()[0] or 0) // chars_per_block))
+    adverts = spoken.learn_adverts(documents, text)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     out = None
     for k in range(blocks):
         mine = ids.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else ids
-        rows = mine.collect()  # at most about items_per_block rows
+        rows = mine.collect()  # about chars_per_block characters
         words = [[w for t in spoken.parts(r.item_text) if (w := spoken.fold(t))] for r in rows]
         keep = [i for i, w in enumerate(words) if len(w) >= least_words]
-        shared = spark.sparkContext.broadcast(SeedIndex([rows[i].item_id for i in keep], [words[i] for i in keep], least_words, damaged_of))
+        shared = spark.sparkContext.broadcast((SeedIndex([rows[i].item_id for i in keep], [words[i] for i in keep], least_words, damaged_of), adverts))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
+            index, adverts = shared.value
             tokens = _Tokens(index)
             for b in batches:
                 for lo in range(0, len(b), 500):
                     part = b.iloc[lo : lo + 500]
                     doc_ids = part["doc_id"].to_numpy()
-                    found = find_leaks(part["text"].tolist(), index, tokens)
+                    found = find_leaks(part["text"].tolist(), index, tokens, adverts)
                     yield pd.DataFrame({"doc_id": [doc_ids[d] for d, *_ in found], "item_id": [index.item_ids[k] for _, k, *_ in found], "first_word": [a for *_, a, _ in found], "last_word": [z for *_, z in found]})
 
         types = dict(documents.select(F.col(doc_id).alias("d")).dtypes) | dict(ids.dtypes)
@@ -248,22 +250,28 @@ def remove_leaking_documents(documents: DataFrame, leaks: DataFrame, doc_id: str
 
 
 def blank_leaked_spans(documents: DataFrame, leaks: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "clean_text") -> DataFrame:
-    """Leaking documents with their spoken words, without the leaked passages, in ``out``.
+    """Leaking documents with their text, without the leaked passages, in ``out``.
 
-    Only documents with a leak are returned: all others need no change.
+    Only the passages go, from their first to their last word; cue numbers, times and all
+    other text stay as they are, but for encodings and line ends, which are mended.  Only
+    documents with a leak are returned: all others need no change.
     """
-    spans = leaks.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list(F.struct("first_word", "last_word")).alias("__spans"))
+    spans = leaks.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_set(F.struct("first_word", "last_word")).alias("__spans"))
     kind = dict(documents.dtypes)[text]
+    shared = documents.sparkSession.sparkContext.broadcast(spoken.learn_adverts(documents, text))
 
     @F.pandas_udf(kind)
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         done = []
         for t, s in zip(texts, spans):
-            ws = [x for x in spoken.parts(spoken.spoken_text(t)) if spoken.fold(x)]
-            gone = np.zeros(len(ws), bool)
-            for x in s:
-                gone[x["first_word"] : x["last_word"] + 1] = True
-            done.append(" ".join(w for w, g in zip(ws, gone) if not g))
+            plain, masked = spoken.masked_text(t, shared.value)
+            at = spoken.word_spans(masked)
+            kept, end = [], 0
+            # a passage over several cues goes word by word, so that the lines between stay
+            for k in sorted({k for x in s for k in range(x["first_word"], x["last_word"] + 1)}):
+                kept.append(plain[end : at[k][0]])
+                end = at[k][1]
+            done.append("".join(kept) + plain[end:])
         return pd.Series(done)
 
     return documents.join(spans, F.col(doc_id) == F.col("__d")).withColumn(out, cut(F.col(text), F.col("__spans"))).drop("__d", "__spans")
