@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesseral.llm import spoken
-from tesseral.session import Scratch
+from tesseral.session import Scratch, drop_repeats
 
 #: English words that join clauses or mark how they hang together.
 CONNECTIVES = frozenset(
@@ -29,8 +29,8 @@ CONNECTIVES = frozenset(
 )
 #: Words that open a dependent clause.
 SUBORDINATORS = frozenset("after although as because before if inasmuch insofar notwithstanding once since that though unless until when whereas whether which while who whom whose why".split())
-#: Buckets of the corpus-wide word counts: the table that is broadcast has this size whatever the corpus.
-BUCKETS = 1 << 16
+#: Buckets of the corpus-wide word counts: the table that is broadcast (4 bytes each) has this size whatever the corpus.
+BUCKETS = 1 << 20
 _SENTENCE_END = re.compile(r"[.?!…]+(?=\s|$|[\"'”’)])")
 _CLAUSE_MARK = re.compile(r"[,;:]")
 FEATURES = ("word_length", "long_words", "very_long_words", "log_sentence_length", "diversity", "hapax_share", "connectives", "subordinators", "clause_marks", "length_spread", "log_words", "rarity", "rare_share")
@@ -48,10 +48,10 @@ class _Facts(dict):
         return got
 
 
-def describe(text: str | None, facts: dict | None = None) -> tuple[int, list[float], list[int]]:
+def describe(text: str | None, facts: dict | None = None, adverts: spoken.Adverts = spoken.NO_ADVERTS) -> tuple[int, list[float], list[int]]:
     """Number of spoken words, the features without rarity, and the bucket of each word."""
     facts = _Facts() if facts is None else facts
-    said = spoken.spoken_text(text)
+    said = spoken.spoken_text(text, adverts)
     got = [g for g in map(facts.__getitem__, spoken.parts(said)) if g is not None]
     n = len(got)
     if not n:
@@ -65,7 +65,7 @@ def describe(text: str | None, facts: dict | None = None) -> tuple[int, list[flo
         size.mean(),
         np.count_nonzero(size >= 7) / n,
         np.count_nonzero(size >= 11) / n,
-        np.log(min(n / sentences, 60.0)),
+        np.log(n / sentences),
         len(kinds) / n**0.5,
         sum(1 for v in kinds.values() if v == 1) / n,
         sum(g[2] for g in got) / n,
@@ -159,10 +159,21 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int =
         q, loss, slope, damp = q - step, new_loss, new_slope, max(damp / 10, 1e-9)
         if gain < 1e-8 * (1 + abs(loss)):
             break
-    model = OrdinalModel(mean, scale, q[:p], cuts_of(q), levels, 0.0)
-    wrong = (model.log_probabilities(x).argmax(axis=1) != at).mean()
-    model.rater_error = float(np.clip(wrong, 0.005, 0.3))
-    return model
+    return OrdinalModel(mean, scale, q[:p], cuts_of(q), levels, 0.0)
+
+
+def rater_error(same: int, pairs: int, levels: int) -> float:
+    """Chance that a rater errs, from how many pairs of ratings of one document agree.
+
+    With error rate e spread over the other levels, two raters agree with the chance
+    (1 - e)^2 + e^2 / (levels - 1).  One pair of each kind is added, so that it is never
+    zero; without pairs it is that of a coin's toss between agreeing and not.
+    """
+    agree = (same + 1) / (pairs + 2)
+    m = max(1, levels - 1)
+    a, b, c = 1 + 1 / m, -2.0, 1 - agree
+    root = max(0.0, b * b - 4 * a * c) ** 0.5
+    return min(max((-b - root) / (2 * a), 1e-6), m / (m + 1) - 1e-6)
 
 
 def reading_levels(
@@ -173,33 +184,47 @@ def reading_levels(
     Result: doc_id, band (int), score (the expected band, double), n_words, one row per
     document whose ``lang`` equals ``language`` exactly and that has at least ``least_words``
     spoken words.  Null and empty texts have none and don't appear; a null ``lang`` is no
-    match.  Rows with the same id and text count once.  Labels that are null or belong to no
+    match.  Of rows with the same id one counts; rows without an id count once per text.  Labels that are null or belong to no
     document are left out; repeated labels of a rater count once.
 
     The model is fitted on at most ``most_labels`` labels (those with the smallest hash of
-    the document id); the word counts behind rarity cover all documents of the language.
-    Raters err: a labelled document gets the band that model and labels together make most
-    likely, with the error rate of raters that the fit shows.
+    the document id), whose features alone come to the driver; the word counts behind rarity
+    cover all documents of the language.  Raters err: a labelled document gets the band that
+    model and labels together make most likely, with the error rate of raters that documents
+    with two raters show.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark)
     kind = dict(documents.dtypes)[doc_id]
     mine = documents.where(F.col(lang) == language).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    mine = drop_repeats(scratch, mine, ["doc_id"])
+    known = spark.sparkContext.broadcast(spoken.learn_adverts(mine))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         facts = _Facts()
         for b in batches:
-            n, values, buckets = zip(*(describe(t, facts) for t in b["text"])) if len(b) else ((), (), ())
+            n, values, buckets = zip(*(describe(t, facts, known.value) for t in b["text"])) if len(b) else ((), (), ())
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": list(n), "features": list(values), "buckets": list(buckets)})
 
     measured = scratch.table(mine.mapInPandas(measure, f"doc_id {kind}, n_words int, features array<double>, buckets array<int>").where(F.col("n_words") > 0))
+
+    def tally_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(BUCKETS, dtype=np.int64)
+        for b in batches:
+            for x in b["buckets"]:
+                np.add.at(seen, np.asarray(x, dtype=np.int64), 1)
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"b": at, "n": seen[at]})
+
+    tallied = measured.select("buckets").mapInPandas(tally_words, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
     counts = np.zeros(BUCKETS, dtype=np.float64)
-    for r in measured.select(F.explode("buckets").alias("b")).groupBy("b").count().collect():  # at most BUCKETS rows
-        counts[r["b"]] = r["count"]
-    rarity = -np.log((counts + 1) / (counts.sum() + BUCKETS))
+    counts[tallied["b"].to_numpy(np.int64)] = tallied["n"]
+    vocabulary = max(1, len(tallied))
+    rarity = -np.log((counts + 1) / (counts.sum() + vocabulary))
     shared = spark.sparkContext.broadcast(rarity.astype(np.float32))
 
-    def complete(b: pd.DataFrame, rare: np.ndarray) -> np.ndarray:
+    def complete(b: pd.DataFrame) -> np.ndarray:
+        rare = shared.value
         size = b["buckets"].map(len).to_numpy()
         each = rare[np.concatenate([np.asarray(x, dtype=np.int64) for x in b["buckets"]])]
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -207,21 +232,30 @@ def reading_levels(
         share = np.add.reduceat((each > np.log(20_000)).astype(np.float64), start) / size
         return np.column_stack([np.array(b["features"].tolist()), mean, share])
 
+    def with_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"band": b["band"], "x": list(complete(b))})
+
     enough = measured.where(F.col("n_words") >= least_words)
     graded = labels.select(F.col(label_id).alias("doc_id"), F.col(rater).alias("rater"), F.col(band).cast("int").alias("band")).dropna(subset=["doc_id", "band"]).distinct()
     sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id", "rater", "band").limit(most_labels)
-    train = enough.join(F.broadcast(sample), "doc_id").select("features", "buckets", "band").toPandas()  # at most most_labels rows
+    train = enough.join(F.broadcast(sample), "doc_id").select("features", "buckets", "band").mapInPandas(with_features, "band int, x array<double>").toPandas()  # at most most_labels rows of features
     if not len(train):
         raise ValueError("no labelled document has enough words")
-    model = fit_ordinal(complete(train, rarity), train["band"].to_numpy(), penalty)
+    model = fit_ordinal(np.array(train["x"].tolist()), train["band"].to_numpy(), penalty)
+    rated = graded.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("band").alias("lo"), F.max("band").alias("hi")).where("n = 2")
+    pairs = rated.agg(F.count("*").alias("n"), F.count_if(F.col("lo") == F.col("hi")).alias("same")).first()
+    model.rater_error = rater_error(pairs["same"], pairs["n"], len(model.levels))
     fitted = spark.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = fitted.value
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": b["n_words"], "logs": model.log_probabilities(complete(b, shared.value)).tolist()})
+                yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": b["n_words"], "logs": model.log_probabilities(complete(b)).tolist()})
 
+    scratch.keep_only(measured)
     scored = enough.mapInPandas(predict, f"doc_id {kind}, n_words int, logs array<double>")
     # per document the number of labels of each level
     tally = graded.groupBy("doc_id").agg(*(F.count_if(F.col("band") == int(v)).alias(f"__l{i}") for i, v in enumerate(model.levels)))
@@ -236,4 +270,4 @@ def reading_levels(
     total, first = weights[0], weights[0] * float(model.levels[0])
     for v, w in zip(model.levels[1:], weights[1:]):
         total, first = total + w, first + w * float(v)
-    return joint.select("doc_id", choice.cast("int").alias("band"), (first / total).alias("score"), "n_words").dropDuplicates(["doc_id"])
+    return joint.select("doc_id", choice.cast("int").alias("band"), (first / total).alias("score"), "n_words")
