@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,9 +23,9 @@ METHYLATION_FLAGS = (0, 16, 83, 99, 147, 163)
 
 
 def read_base_ln(read: Column, allele: Column, qual: Column) -> Column:
-    """Log probability to read a base if the allele is ``allele``, given its base quality; N reads are neutral."""
+    """Log probability to read a base if the allele is ``allele``, given its base quality; an N that doesn't match is neutral."""
     miscall = lp.phred_to_ln(qual)
-    return F.when(F.upper(read) == "N", F.lit(0.25).cast("double")).when(F.upper(read) == F.upper(allele), F.lit(1.0) - F.exp(miscall)).otherwise(F.exp(miscall) * MISCALL_SHARE)
+    return F.when(F.upper(read) == F.upper(allele), lp.one_minus(miscall)).when(F.upper(read) == "N", F.lit(math.log(0.25))).otherwise(miscall + math.log(MISCALL_SHARE))
 
 
 def log2_fold_change(a: Column, b: Column) -> Column:
@@ -31,6 +33,37 @@ def log2_fold_change(a: Column, b: Column) -> Column:
     return F.when((a == 0) & (b == 0), F.lit(0.0)).when(b == 0, F.lit(float("inf"))).when(a == 0, F.lit(float("-inf"))).otherwise(F.log2(a) - F.log2(b))
 
 
+def fold_bounds(op: str, value: float, vaf: Column) -> Column:
+    """Frequencies of b that ``l2fc(a, b) op value`` leaves for a given frequency of a, within 0 and 1: (lo, hi, lo_open, hi_open).
+
+    Null where no frequency is left.  A frequency of a of zero fixes the change to minus
+    infinity (or 0 where b is zero too), so that the bounds then only say where b may be.
+    """
+    at = vaf / F.lit(2.0**value)
+    struct = lambda lo, hi, lo_open, hi_open: F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"), F.lit(lo_open).alias("lo_open"), F.lit(hi_open).alias("hi_open"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    if op == "==":
+        return F.when(at <= 1, struct(at, at, False, False))
+    if op in (">", ">="):
+        return F.when(at > 1, struct(zero, one, False, False)).otherwise(struct(zero, at, False, op == ">"))
+    if op in ("<", "<="):
+        return F.when((at < 1) | ((at == 1) & F.lit(op == "<=")), struct(at, one, op == "<", False))
+    return struct(zero, one, False, False)
+
+
+def flipped_fold(op: str, value: float) -> tuple[str, float]:
+    """The same condition on l2fc(b, a)."""
+    return FLIPPED[op], 0.0 - value
+
+
+def fold_holds(change: Column, op: str, value: float) -> Column:
+    """Whether a fold change meets a condition; equality up to rounding."""
+    if op in ("==", "!="):
+        near = F.abs(change - value) <= 1e-12 * max(1.0, abs(value))
+        return near if op == "==" else ~near
+    return COMPARE[op](change, F.lit(value))
+
+
 COMPARE = {
     "==": lambda a, b: a == b,
     "!=": lambda a, b: a != b,
@@ -66,17 +99,16 @@ def substitution_signature(ref: Column, alt: Column) -> Column:
     return F.when(valid, F.concat(F.when(flip, complement(r)).otherwise(r), F.lit(">"), F.when(flip, complement(a)).otherwise(a)))
 
 
-def change_class(ref: Column, alt: Column, svtype: Column) -> Column:
-    """Signature or variant class of a record: a substitution, the svtype, or by the lengths of the alleles."""
+def change_class(ref: Column, alt: Column) -> Column:
+    """Signature or variant class of a record by its alleles alone; null for single bases that are no substitution."""
     rl, al = F.length(ref), F.length(alt)
+    named = F.regexp_extract(alt, "^<(DEL|INV|DUP|BND|METH)>$", 1)
     return (
-        F.when(svtype.isNotNull() & (svtype != "") & (svtype != "."), svtype)
-        .when(alt.startswith("<"), F.regexp_extract(alt, "^<([A-Z]+)", 1))
-        .when(substitution_signature(ref, alt).isNotNull(), substitution_signature(ref, alt))
-        .when((rl == 1) & (al == 1), F.lit(None).cast("string"))
-        .when(rl == al, F.lit("MNV"))
+        F.when(named != "", named)
+        .when((rl == 1) & (al == 1), substitution_signature(ref, alt))
+        .when((rl > 1) & (al == 1), F.lit("DEL"))
         .when((rl == 1) & (al > 1), F.lit("INS"))
-        .when((al == 1) & (rl > 1), F.lit("DEL"))
+        .when((rl == al) & (rl > 1), F.lit("MNV"))
         .otherwise(F.lit("Complex"))
     )
 
@@ -108,8 +140,18 @@ def strand_of_flag(flag: Column) -> Column:
 
 
 def strand_of_symbol(s: Column) -> Column:
-    """Strand of its symbol: + - * and . for both, forward, reverse and none; anything else is null."""
-    return F.when(s == "+", "Forward").when(s == "-", "Reverse").when(s == "*", "Both").when(s == ".", "None")
+    """Strand of its symbol: + - * and . for forward, reverse, both and none; anything else is an error, null stays null."""
+    return F.when(s == "+", "Forward").when(s == "-", "Reverse").when(s == "*", "Both").when(s == ".", "None").when(s.isNotNull(), F.raise_error(F.concat(F.lit("no strand: "), s)).cast("string"))
+
+
+def strand_at(flag: Column, symbols: Column, place: Column) -> Column:
+    """Strand of a read at a place (from 0): by its string of symbols per base where it has one, else by its flag."""
+    return F.coalesce(strand_of_symbol(F.substr(symbols, (place + 1).cast("int"), F.lit(1))), strand_of_flag(flag))
+
+
+def entire_fragment(tag: Column) -> Column:
+    """Whether a read spans its entire fragment: its whole-number tag is 1."""
+    return F.coalesce(tag == 1, F.lit(False))
 
 
 def merge_strands(a: Column, b: Column) -> Column:
@@ -125,6 +167,11 @@ def read_orientation(first_pos: Column, first_reverse: Column, second_pos: Colum
     return F.when(~same_contig | (first_pos == second_pos), "None").when(left_first, F.concat(a, b)).otherwise(F.concat(b, a))
 
 
+def evidence_orientation(left: Column, right: Column) -> Column:
+    """Orientation of a pair from its mates' tags: None where they differ; a read alone has its own."""
+    return F.when(right.isNull(), F.coalesce(left, F.lit("None"))).when(left.eqNullSafe(right), left).otherwise(F.lit("None"))
+
+
 def standard_orientation(orientation: Column) -> Column:
     """Orientations that proper pairs have, or none known."""
     return orientation.isin("F1R2", "F2R1", "None")
@@ -177,14 +224,47 @@ def estimated_insert_size(left_start: Column, left_clip: Column, right_end: Colu
     return (right_end + right_clip) - (left_start - left_clip)
 
 
-def sampling_chance(alt_len: Column, feasible: Column) -> Column:
-    """Chance to sample an allele from reads: the feasible placements over all."""
-    return F.when(alt_len == 0, F.lit(1.0)).otherwise(F.least(alt_len, feasible) / alt_len)
+def sampling_ln(read_len: Column, feasible: Column, variant_len: Column) -> Column:
+    """Log chance to sample the alternative allele by a read: its feasible placements over all.
 
+    Placements are at most the read's length and that of the variant, where it has one (null:
+    none).  Without a number of feasible bases (null) the chance is one.
+    """
+    n = F.least(read_len, variant_len)
+    return F.when(feasible.isNull(), F.lit(0.0)).otherwise(lp.ln(F.least(n, feasible).cast("double")) - lp.ln(n.cast("double")))
 
-def either(p: Column, q: Column) -> Column:
-    """Chance that at least one of two independent events happens."""
-    return 1 - (1 - p) * (1 - q)
+
+def either_ln(p: Column, q: Column) -> Column:
+    """Log chance that at least one of two independent events happens, from their log chances."""
+    return lp.one_minus(lp.one_minus(p) + lp.one_minus(q))
+
+
+def explained_by_errors(n_subs: Column, n_ins: Column, n_del: Column, length: Column, ln_sub: Column, ln_ins: Column, ln_del: Column) -> Column:
+    """Whether edits are no more than the error rates make expect for an alignment."""
+    return (n_subs <= length * F.exp(ln_sub)) & (n_ins <= length * F.exp(ln_ins)) & (n_del <= length * F.exp(ln_del))
+
+
+def converted_read_ln(read: Column, qual: Column, reverse: Column) -> tuple[Column, Column]:
+    """Log probabilities (methylated, not) of a base of a converted read: C against T, on the reverse strand G against A."""
+    return (read_base_ln(read, F.when(reverse, "G").otherwise("C"), qual), read_base_ln(read, F.when(reverse, "A").otherwise("T"), qual))
+
+
+def mutated(read: Column, reverse: Column, annotated: bool) -> Column:
+    """Whether a base at a methylation site can't come from it, converted or annotated."""
+    base = F.upper(read)
+    forward, back = (("G", "A", "T"), ("C", "A", "T")) if annotated else (("A", "G"), ("C", "T"))
+    return F.when(reverse, base.isin(*back)).otherwise(base.isin(*forward))
+
+
+def from_reverse_strand(flag: Column) -> Column:
+    """Whether a read shows the reverse strand: reversed, or the second of a pair that isn't."""
+    reverse, first = has_flag(flag, REVERSE), has_flag(flag, FIRST)
+    return F.when(has_flag(flag, PAIRED), reverse == first).otherwise(reverse)
+
+
+def is_phred_description(text: Column) -> Column:
+    """Whether a header's description says that its values are PHRED scaled; without any scale in brackets they are."""
+    return F.coalesce(text.endswith("(PHRED)") | ~text.endswith(")"), F.lit(True))
 
 
 def parse_breakend(alt: Column) -> Column:
@@ -220,10 +300,11 @@ def in_iupac(code: str, base: Column) -> Column:
 
 
 def significant(x: Column, digits: int) -> Column:
-    """A number rounded to significant digits, as text without exponent or trailing zeros."""
-    power = digits - 1 - F.floor(F.log10(F.abs(x))).cast("int")
-    scale = F.pow(F.lit(10.0), power.cast("double"))
-    return F.when(x == 0, F.lit("0")).otherwise(F.regexp_replace(F.format_string("%.12f", F.round(x * scale) / scale), r"\.?0+$", ""))
+    """A number as text with that many significant digits: zeros at the end stay, digits before the point are never rounded."""
+    a = F.abs(x)
+    before = (F.floor(F.log10(a)) + 1).cast("int")
+    places = F.when(a == 0, 0).when(a >= 1, F.greatest(F.lit(digits) - before, F.lit(0))).otherwise(F.lit(digits) - before)
+    return F.when(x.isNull(), F.lit(None).cast("string")).otherwise(F.printf(F.concat(F.lit("%."), places.cast("string"), F.lit("f")), x.cast("double")))
 
 
 def short_hash(text: Column) -> Column:
@@ -249,6 +330,13 @@ def anonymise_bases(seq: Column, permutation: str) -> Column:
     return F.translate(seq, "ACGTacgt", permutation + permutation.lower())
 
 
+def anonymous_name(name: Column, secret: str) -> Column:
+    """A read name that can't be traced, in the form of a UUID: the same for the same name and secret, so that mates stay together."""
+    h = F.sha2(F.concat(F.lit(secret), name), 256)
+    part = lambda i, n: F.substring(h, i, n)
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("4"), part(14, 3)), F.concat(F.lit("8"), part(18, 3)), part(21, 12))
+
+
 def ploidy_of(contig: Column, sex: Column, table: dict[str, dict[str, int] | int]) -> Column:
     """Ploidy by contig, with a common value under ``all`` and values per sex where given."""
 

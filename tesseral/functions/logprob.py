@@ -8,8 +8,9 @@ logarithm goes through the helpers here.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LN10 = math.log(10.0)
@@ -65,9 +66,12 @@ def one_minus(x: Column) -> Column:
 
 
 def add(a: Column, b: Column) -> Column:
-    """ln(exp(a) + exp(b)); null if either is null."""
-    hi, lo = F.greatest(a, b), F.least(a, b)
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(lo == NEG_INF, hi).otherwise(hi + F.log1p(F.exp(lo - hi)))
+    """ln(exp(a) + exp(b)); null if either is null.
+
+    Each operand stands three times in the expression: nest it by way of a column.
+    """
+    far = F.abs(a - b)  # NaN for two zeros, infinite for one
+    return F.when(a == b, a + LN2).otherwise(F.greatest(a, b) + F.log1p(F.exp(-far)))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -76,18 +80,26 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def cap(x: Column, epsilon: float = OVERSHOOT) -> Column:
-    """A log probability that rounding pushed over zero, brought back; beyond ``epsilon`` it is null."""
-    return F.when(x <= 0, x).when(x <= epsilon, F.lit(0.0))
+    """A log probability that rounding pushed over zero, brought back; beyond ``epsilon`` it is an error."""
+    return F.when(x <= 0, x).when(x <= epsilon, F.lit(0.0)).when(x > epsilon, F.raise_error(F.lit("a probability exceeds one")).cast("double"))
+
+
+#: Width of the bands in which ``sum_exp_by`` adds up: sums within one stay in range.
+BAND = 512.0
 
 
-def sum_exp(x: Column) -> Column:
-    """Aggregate: ln of the sum of exp(x).  Null values don't count; minus infinity if no value is above it.
+def sum_exp_by(df: DataFrame, keys: Sequence[str], x: Column, out: str) -> DataFrame:
+    """Per key, ln of the sum of exp(x), however deep the values lie.
 
-    The sum is a plain partial aggregate.  It stays in range for log probabilities down to
-    about -700; sums over deeper ones go through ``sum_exp_over``.
+    Values are added up within bands of their size, each shifted to its band, by partial
+    aggregates; then the bands of a key, a few, are put together from the highest.  Null
+    values don't count; minus infinity if no value is above it.
     """
-    total = F.sum(F.exp(x))
-    return F.when(F.count(x) == 0, zero()).when(total == 0, zero()).otherwise(F.ln(total))
+    band = F.when(x == NEG_INF, F.lit(None).cast("double")).otherwise(F.floor(x / BAND).cast("double"))
+    shifted = df.where(x.isNotNull()).select(*keys, x.alias("__x"), band.alias("__b"))
+    sums = shifted.groupBy(*keys, "__b").agg(F.sum(F.when(F.col("__b").isNotNull(), F.exp(F.col("__x") - F.col("__b") * BAND)).otherwise(0.0)).alias("__s"))
+    logs = F.when(F.col("__b").isNull(), zero()).otherwise(F.col("__b") * BAND + F.ln("__s"))
+    return sums.groupBy(*keys).agg(F.collect_list(logs).alias("__l")).withColumn(out, sum_exp_array(F.col("__l"))).drop("__l")  # a row per band
 
 
 def sum_exp_over(x: Column, window) -> Column:

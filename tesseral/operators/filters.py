@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesseral.functions import genomics as gn
 from tesseral.functions import logprob as lp
+from tesseral.session import Scratch, running
 
 
 def by_type(df: DataFrame, kind: str, column: str = "vartype", length: str | None = None, shortest: int | None = None, longest: int | None = None) -> DataFrame:
@@ -38,10 +39,8 @@ def event_probability(columns: Sequence[str]) -> Column:
     any_there = F.lit(False)
     for c in columns:
         any_there = any_there | F.col(c).isNotNull()
-    total = F.lit(0.0)
-    for x in logs:
-        total = total + F.exp(x)
-    return F.when(any_there, F.when(total == 0, lp.zero()).when(total >= 1, F.lit(0.0)).otherwise(F.ln(total)))
+    total = lp.cap(lp.sum_exp_array(F.array(*logs)))
+    return F.when(any_there, total)
 
 
 def presence_probability(absent: str, artifact: str) -> Column:
@@ -54,6 +53,8 @@ def once_per_event(df: DataFrame, keep: Column, event: str, order: Sequence[str]
 
     Only rows that have an event go through the aggregation that finds the first record.
     """
+    if not order:
+        raise ValueError("which record of an event is the first needs an order")
     marked = df.withColumn("__keep", keep)
     alone = marked.where(F.col(event).isNull()).where("__keep").drop("__keep")
     tied = marked.where(F.col(event).isNotNull())
@@ -61,80 +62,104 @@ def once_per_event(df: DataFrame, keep: Column, event: str, order: Sequence[str]
     return alone.unionByName(tied.join(first, F.col(event) == F.col("__event"), "left_semi").drop("__keep"))
 
 
-def fdr_local(df: DataFrame, events: Sequence[str], alpha: float, smart: bool = False, absent: str = "PROB_ABSENT", artifact: str = "PROB_ARTIFACT") -> DataFrame:
+#: Probabilities that differ by no more than this share are equal to a threshold.
+NEAR = 1e-12
+
+
+def _at_least(p: Column, level: Column) -> Column:
+    return (p >= level) | (F.abs(p - level) <= NEAR * F.greatest(F.abs(p), F.abs(level)))
+
+
+def _smart(df: DataFrame, events: Sequence[str], absent: str, artifact: str, retain_artifacts: bool) -> tuple[Column, Column]:
+    """Log probabilities of presence and of the events; wanted artifacts count as an event instead of absence."""
+    columns = known_events(df, events)
+    if retain_artifacts:
+        return lp.one_minus(event_probability([absent])), event_probability([*columns, artifact])
+    return presence_probability(absent, artifact), event_probability(columns)
+
+
+def fdr_local(
+    df: DataFrame, events: Sequence[str], alpha: float, smart: bool = False, absent: str = "PROB_ABSENT", artifact: str = "PROB_ARTIFACT", retain_artifacts: bool = False, vartype: str | None = None, event: str | None = None, order: Sequence[str] = ()
+) -> DataFrame:
     """Keep calls whose probability of the events is at least 1 - alpha.
 
     Smart: the calls must be present with that probability, and the events must together be
-    more likely than not.
+    more likely than not; with ``retain_artifacts`` artifacts are wanted.  With ``vartype``
+    only records of that type (column ``vartype``) are kept; records of an ``event`` follow
+    the first in ``order``.
     """
-    columns = known_events(df, events)
-    p = event_probability(columns)
     level = F.lit(1 - alpha)
     if smart:
-        return df.where((F.exp(presence_probability(absent, artifact)) >= level) & (F.exp(p) > 0.5))
-    return df.where(F.exp(p) >= level)
+        present, p = _smart(df, events, absent, artifact, retain_artifacts)
+        keep = _at_least(F.exp(present), level) & (F.exp(p) > 0.5)
+    else:
+        keep = _at_least(F.exp(event_probability(known_events(df, events))), level)
+    if vartype:
+        keep = keep & (F.upper("vartype") == vartype.upper())
+    keep = F.coalesce(keep, F.lit(False))
+    return once_per_event(df, keep, event, order) if event else df.where(keep)
 
 
-def fdr_curve(df: DataFrame, error: str, unit: str | None = None, order: Sequence[str] = (), bins: int | None = None) -> DataFrame:
+def fdr_curve(df: DataFrame, error: str, unit: str | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Expected false discovery rate when all calls up to each error probability are kept.
 
-    Result: ``error``, ``n_calls``, ``fdr``, one row per distinct error probability.  Records of
-    one haplotype ``unit`` count once, with the error of the first.  Equal errors share a
-    row, so that only an aggregated curve needs a running sum: it runs over ranges in
-    parallel, each with the sums of the ranges before it.
+    Result, one row per distinct error probability: ``error``, ``n_calls``, ``fdr`` (of all
+    calls up to it) and ``first_fdr`` (with only the first of the calls of this error).
+    Records of one haplotype ``unit`` count once, with the error of the first in ``order``.
+    The curve is a running sum over slices of the order in parallel.
     """
     if unit:
+        if not order:
+            raise ValueError("which record of a unit is the first needs an order")
         alone = df.where(F.col(unit).isNull()).select(F.col(error).alias("error"))
         tied = df.where(F.col(unit).isNotNull()).groupBy(unit).agg(F.min_by(error, F.struct(*order)).alias("error")).select("error")
         errors = alone.unionByName(tied)
     else:
         errors = df.select(F.col(error).alias("error"))
     points = errors.where("error is not null").groupBy("error").agg(F.count("*").alias("n"))
-    return running(points, "error", {"n_calls": F.col("n").cast("double"), "errors": F.col("n") * F.col("error")}).select("error", F.col("n_calls").cast("long").alias("n_calls"), (F.col("errors") / F.col("n_calls")).alias("fdr"))
+    got = running(Scratch(df.sparkSession), points, ["error"], {"n_calls": F.col("n"), "errors": F.col("n") * F.col("error")})
+    before_n, before_e = F.col("n_calls") - F.col("n"), F.col("errors") - F.col("n") * F.col("error")
+    return got.select("error", "n_calls", (F.col("errors") / F.col("n_calls")).alias("fdr"), ((before_e + F.col("error")) / (before_n + 1)).alias("first_fdr"))
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], ranges: int = 64) -> DataFrame:
-    """Running sums over one global order without one global sort task.
+def fdr_threshold(curve: DataFrame, alpha: float) -> DataFrame:
+    """One row: the largest error probability of whose calls the first is still within alpha; null if none.
 
-    Rows are put in ``ranges`` slices of the order by sampled bounds; each slice's sums are
-    added to those of the slices before it, which is a table of ``ranges`` rows.
-    ``order`` must be unique.
+    Calls of equal error are kept or dropped together.
     """
-    bounds = df.select(F.percentile_approx(order, F.array(*(F.lit(i / ranges) for i in range(1, ranges))), 1000).alias("b")).withColumnRenamed("b", "__bounds")
-    sliced = df.crossJoin(F.broadcast(bounds)).withColumn("__slice", F.size(F.filter(F.coalesce("__bounds", F.array().cast("array<double>")), lambda x: x < F.col(order)))).drop("__bounds")
-    for name, x in sums.items():
-        sliced = sliced.withColumn(f"__{name}", x)
-    totals = sliced.groupBy("__slice").agg(*(F.sum(f"__{n}").alias(f"__total_{n}") for n in sums))
-    over = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(F.col("__slice").alias("__s"), *(F.coalesce(F.sum(f"__total_{n}").over(over), F.lit(0.0)).alias(f"__before_{n}") for n in sums))
-    inner = Window.partitionBy("__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = sliced.join(F.broadcast(before), F.col("__slice") == F.col("__s"))
-    for n in sums:
-        out = out.withColumn(n, F.sum(f"__{n}").over(inner) + F.col(f"__before_{n}"))
-    return out.drop("__slice", "__s", *(f"__{n}" for n in sums), *(f"__before_{n}" for n in sums))
-
-
-def fdr_threshold(curve: DataFrame, alpha: float) -> DataFrame:
-    """One row: the largest error probability at which the expected rate is still within alpha; null if none."""
-    return curve.where(F.round(F.col("fdr"), 12) <= alpha).agg(F.max("error").alias("threshold"))
+    return curve.where(F.col("first_fdr") <= alpha * (1 + NEAR)).agg(F.max("error").alias("threshold"))
 
 
 def fdr_global(df: DataFrame, error: Column, alpha: float, event: str | None = None, order: Sequence[str] = (), also: Column | None = None) -> DataFrame:
     """Keep calls so that the expected false discovery rate of the kept set is at most alpha.
 
     alpha of one keeps all calls.  ``also`` is a further condition on each row, as the smart
-    mode has.  Records of an event follow its first record.
+    mode has.  Records of an event follow its first record in ``order``.
     """
     if alpha >= 1:
         return df if also is None else df.where(also)
-    marked = df.withColumn("__error", F.round(error, 9))
-    threshold = fdr_threshold(fdr_curve(marked, "__error", event, order), alpha)
-    keep = F.coalesce(F.col("__error") <= F.col("__threshold"), F.lit(False))
+    scratch = Scratch(df.sparkSession)
+    marked = scratch.table(df.withColumn("__error", error))
+    threshold = fdr_threshold(fdr_curve(marked, "__error", event, order), alpha).first()[0]
+    keep = F.coalesce(F.col("__error") <= F.lit(threshold).cast("double"), F.lit(False))
     if also is not None:
         keep = keep & also
-    with_threshold = marked.crossJoin(F.broadcast(threshold.withColumnRenamed("threshold", "__threshold")))
-    kept = once_per_event(with_threshold, keep, event, order) if event else with_threshold.where(keep)
-    return kept.drop("__error", "__threshold")
+    kept = once_per_event(marked, keep, event, order) if event else marked.where(keep)
+    return kept.drop("__error")
+
+
+def fdr_global_smart(df: DataFrame, events: Sequence[str], alpha: float, absent: str = "PROB_ABSENT", artifact: str = "PROB_ARTIFACT", retain_artifacts: bool = False, event: str | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Control the rate of absent calls among the kept ones; the events must be more likely than not."""
+    present, p = _smart(df, events, absent, artifact, retain_artifacts)
+    return fdr_global(df, F.exp(lp.one_minus(present)), alpha, event, order, F.exp(p) > 0.5)
+
+
+def trimmed_alleles(df: DataFrame, record: Sequence[str], keep: Column, alleles: Sequence[str], order: str) -> DataFrame:
+    """Records of one row per allele, put together again with the alleles that are kept, in ``order``; records without any are gone."""
+    def in_order(a: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(a).alias("a")))), lambda x: x["a"]).alias(a)
+
+    return df.where(keep).groupBy(*record).agg(*(in_order(a) for a in alleles))  # alleles of a record
 
 
 def posterior_odds(df: DataFrame, target: Sequence[str], other: Sequence[str], below: str) -> DataFrame:

@@ -8,30 +8,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlap_class(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
-    """How a half-open interval lies to another: Enclosing, Enclosed, Left, Right or None.
+def overlap_class(start: Column, end: Column, locus_start: Column, locus_end: Column) -> Column:
+    """How a read (half open) lies to a locus: Enclosing, Left, Right, Enclosed or None.
 
-    Enclosing: it holds all of the other.  Left: it begins before the other and ends in it.
+    Left: it begins at or before the locus and ends at its start or within it.  Right: it
+    begins within and ends at its end or beyond.  A read that begins within and ends before
+    the end is enclosed.
     """
+    before = start <= locus_start
     return (
-        F.when((end <= other_start) | (start >= other_end), "None")
-        .when((start <= other_start) & (end >= other_end), "Enclosing")
-        .when((start >= other_start) & (end <= other_end), "Enclosed")
-        .when(start < other_start, "Left")
-        .otherwise("Right")
+        F.when(before & (end >= locus_end), "Enclosing")
+        .when(before & (end >= locus_start), "Left")
+        .when(before, "None")
+        .when((end >= locus_end) & (start < locus_end), "Right")
+        .when((end <= locus_end), "Enclosed")
+        .otherwise("None")
     )
 
 
-def range_relation(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
-    """Relation of two closed ranges: Equal, Contained, Contains, Start, End or None."""
-    return (
-        F.when((a_lo == b_lo) & (a_hi == b_hi), "Equal")
-        .when((a_hi < b_lo) | (a_lo > b_hi), "None")
-        .when((a_lo >= b_lo) & (a_hi <= b_hi), "Contained")
-        .when((a_lo <= b_lo) & (a_hi >= b_hi), "Contains")
-        .when(a_lo < b_lo, "End")
-        .otherwise("Start")
-    )
+def range_relation(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column, a_open: tuple[Column, Column] | None = None, b_open: tuple[Column, Column] | None = None) -> Column:
+    """How range a lies to range b: Equal, Contained, Contains, Start (only a's start is in b), End (only its end) or None.
+
+    Ends are closed unless given as open (left, right).  A start shared by both is not in b,
+    unless a's is open and b's is not; likewise an end.
+    """
+    no = F.lit(False)
+    (al, ar), (bl, br) = a_open or (no, no), b_open or (no, no)
+    apart = (a_hi < b_lo) | (a_lo > b_hi) | ((a_hi == b_lo) & (ar | bl)) | ((a_lo == b_hi) & (al | br))
+    starts_in = (a_lo > b_lo) | ((a_lo == b_lo) & al & ~bl)
+    ends_in = (a_hi < b_hi) | ((a_hi == b_hi) & ar & ~br)
+    same = (a_lo == b_lo) & (a_hi == b_hi) & (al == bl) & (ar == br)
+    return F.when(same, "Equal").when(apart, "None").when(starts_in & ends_in, "Contained").when(starts_in, "Start").when(ends_in, "End").otherwise("Contains")
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_range: tuple[str, str], right_range: tuple[str, str], bin_width: int, hot_factor: int = 1) -> DataFrame:
@@ -93,10 +100,21 @@ def run_lengths(df: DataFrame, keys: Sequence[str], order: Sequence[str], item:
     return runs.groupBy(*keys, "run_no").agg(F.first(item).alias("item"), F.count("*").alias("run_length"))
 
 
-def with_neighbours_at_locus(df: DataFrame, locus: Sequence[str], item: str) -> DataFrame:
-    """Adds ``others``: the sorted distinct items of the same locus but the row's own."""
+def with_neighbours_at_locus(df: DataFrame, locus: Sequence[str], item: str, index: str) -> DataFrame:
+    """Adds ``others``: the items of all other rows of the same locus, in order of ``index``, which numbers the rows.
+
+    An equal item of another row is another item.  All rows of a locus meet in one list, so
+    a locus must hold no more than its variants.
+    """
     w = Window.partitionBy(*locus)
-    return df.withColumn("others", F.array_sort(F.array_except(F.collect_set(item).over(w), F.array(item))))
+    return df.withColumn("__all", F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(item).alias("x"))).over(w))).withColumn("others", F.transform(F.filter("__all", lambda e: e["i"] != F.col(index)), lambda e: e["x"])).drop("__all")
+
+
+def require_sorted(df: DataFrame, keys: Sequence[str], order: str, ordinal: str) -> DataFrame:
+    """The rows, or an error when the plan runs where one's position is before that of the previous ordinal of its key."""
+    w = Window.partitionBy(*keys).orderBy(ordinal)
+    fine = F.lag(order).over(w).isNull() | (F.col(order) >= F.lag(order).over(w))
+    return df.withColumn("__fine", fine).where(F.assert_true(F.col("__fine"), F.lit("records are not sorted")).isNull()).drop("__fine")
 
 
 def assert_sorted(df: DataFrame, keys: Sequence[str], order: str, ordinal: str) -> DataFrame:
@@ -146,16 +164,59 @@ def mate_pairs(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns
 
 
 def zip_samples(frames: dict[str, DataFrame], keys: Sequence[str], check: bool = True) -> DataFrame:
-    """Join the observations of several samples on the variant key; with ``check`` a key that a sample lacks is an error when the plan runs."""
+    """One row per variant key with each sample's columns as a struct.
+
+    With ``check`` a key that a sample lacks, or has twice, is an error when the plan runs.
+    """
     tagged = None
     for name, df in frames.items():
         payload = [c for c in df.columns if c not in keys]
         part = df.select(*keys, F.lit(name).alias("sample"), F.struct(*payload).alias("data"))
         tagged = part if tagged is None else tagged.unionByName(part, allowMissingColumns=True)
-    zipped = tagged.groupBy(*keys).pivot("sample", sorted(frames)).agg(F.first("data"))
+    names = sorted(frames)
+    zipped = tagged.groupBy(*keys).agg(*(F.max(F.when(F.col("sample") == n, F.col("data"))).alias(n) for n in names), *(F.count_if(F.col("sample") == n).alias(f"__n_{n}") for n in names))
     if check:
         complete = F.lit(True)
-        for name in sorted(frames):
-            complete = complete & F.col(f"`{name}`").isNotNull()
+        for n in names:
+            complete = complete & (F.col(f"__n_{n}") == 1)
         zipped = zipped.where(F.assert_true(complete, F.lit("samples have different records")).isNull())
-    return zipped
+    return zipped.drop(*(f"__n_{n}" for n in names))
+
+
+def with_missing_samples(pileups: DataFrame, key: str, sample: str, samples: Sequence[str], observations: str) -> DataFrame:
+    """A pileup of every sample for every key: an empty one where the sample has none."""
+    every = pileups.select(key).distinct().withColumn(sample, F.explode(F.array(*(F.lit(s) for s in samples))))
+    kind = dict(pileups.dtypes)[observations]
+    return every.join(pileups, [key, sample], "left").withColumn(observations, F.coalesce(observations, F.array().cast(kind)))
+
+
+def event_groups(df: DataFrame, event: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Records of each event as one array in order, with the index of the last; records without event have none.
+
+    A group is the variants of one haplotype, a handful.
+    """
+    members = F.array_sort(F.collect_list(F.struct(*order, *(c for c in columns if c not in order))))
+    return df.where(F.col(event).isNotNull()).groupBy(event).agg(members.alias("members"), F.count("*").alias("n_members"), F.max(F.struct(*order)).alias("last_record"))
+
+
+def share_event_result(df: DataFrame, event: str, order: Sequence[str], results: Sequence[str]) -> DataFrame:
+    """All records of an event get the results of its first record; others keep theirs."""
+    tied = df.where(F.col(event).isNotNull())
+    first = tied.groupBy(F.col(event).alias("__event")).agg(F.min_by(F.struct(*results), F.struct(*order)).alias("__first"))
+    shared = tied.join(first, F.col(event) == F.col("__event")).drop("__event")
+    for r in results:
+        shared = shared.withColumn(r, F.col(f"__first.{r}"))
+    return df.where(F.col(event).isNull()).unionByName(shared.drop("__first"))
+
+
+def with_reference_base(df: DataFrame, contigs: DataFrame, contig: str, pos: str, length: int = 1, out: str = "ref_base", tile: int = 1 << 16) -> DataFrame:
+    """Bases of the reference at a position (from 0), from contigs (``contig``, ``seq``) cut in tiles.
+
+    Tiles overlap by ``length``, so that a lookup is an equality join on contig and tile
+    that no long contig makes heavy.  Null beyond the contig's end.
+    """
+    n = F.greatest(F.ceil(F.length("seq") / F.lit(tile)).cast("int"), F.lit(1))
+    tiles = contigs.select(F.col("contig").alias("__c"), "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("__t")).select("__c", "__t", F.expr(f"substring(seq, __t * {tile} + 1, {tile + length})").alias("__s"))
+    at = F.col(pos)
+    base = F.expr(f"substring(__s, cast(pmod(`{pos}`, {tile}) as int) + 1, {length})")
+    return df.join(tiles, (F.col(contig) == F.col("__c")) & (F.floor(at / F.lit(tile)) == F.col("__t")), "left").withColumn(out, F.when(F.length(base) == length, base)).drop("__c", "__t", "__s")

@@ -1,13 +1,11 @@
-"""Queries of the survey's catalogue (section 7.3) on its adapter views."""
+"""The flagship query: posteriors of a discrete scenario on lines as observations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.functions import genomics as gn
-from tesseral.functions import logprob as lp
-from tesseral.operators import filters, posterior, ranges
+from tesseral.operators import posterior
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,14 +18,6 @@ def _obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("variant"), (0.90 + F.col("l_tax")).alias("p_map"), p_alt.alias("p_alt"), (1 - p_alt).alias("p_ref"))
 
 
-def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as calls with PHRED scores of the events high, low, absent and artifact."""
-    k = F.col("o_orderkey")
-    present, high, absent = (k % 97 + 1) / F.lit(98.0), (k % 7 + 1) / F.lit(8.0), (k % 13 + 1) / F.lit(15.0)
-    scores = {"PROB_HIGH": present * high, "PROB_LOW": present * (1 - high), "PROB_ABSENT": (1 - present) * absent, "PROB_ARTIFACT": (1 - present) * (1 - absent)}
-    return _read(spark, sf_dir, "orders").select("o_orderkey", *(lp.prob_to_phred(p).alias(c) for c, p in scores.items()))
-
-
 def j8_posterior_discrete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Universe 0.0 | 0.5 | 1.0 with the events het, hom and absent."""
     got = posterior.discrete_posteriors(_obs(spark, sf_dir), "variant", {"het": (0.5,), "hom": (1.0,)})
@@ -39,46 +29,10 @@ def j1_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _obs(spark, sf_dir).groupBy("variant").agg(F.round(F.sum(posterior.observation_likelihood(0.5, F.col("p_map"), F.col("p_alt"), F.col("p_ref"))), 6).alias("ln_likelihood"))
 
 
-def h1_phred_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _calls(spark, sf_dir).select("o_orderkey", *(F.round(c, 6).alias(c.lower()) for c in ("PROB_HIGH", "PROB_ABSENT")))
-
-
-def h13_log2fc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    change = gn.log2_fold_change(F.col("l_discount"), F.col("l_tax"))
-    return _read(spark, sf_dir, "lineitem").groupBy(F.round(change, 6).alias("l2fc")).agg(F.count("*").alias("n"))
-
-
-def b2_fdr_local_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.fdr_local(_calls(spark, sf_dir), ["high", "low"], 0.3).select("o_orderkey")
-
-
-def b2_fdr_local_smart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.fdr_local(_calls(spark, sf_dir), ["high"], 0.3, smart=True).select("o_orderkey")
-
-
-def b5_posterior_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls with less than strong evidence for absence or artifact against presence."""
-    return filters.posterior_odds(_calls(spark, sf_dir), ["high", "low"], ["absent", "artifact"], "strong").select("o_orderkey")
-
-
-def l2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranges.neighbours(_read(spark, sf_dir, "events"), ["user_id"], "event_id").select("user_id", "event_id", "previous", "following")
-
-
-def f5_best_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines of the smallest discount of their part."""
-    return ranges.best_with_ties(_read(spark, sf_dir, "lineitem"), ["l_partkey"], "l_discount").select("l_partkey", "l_orderkey", "l_linenumber", "l_discount")
-
-
-QUERIES = {
-    f.__name__: f
-    for f in (j8_posterior_discrete, j1_likelihood, h1_phred_encode, h13_log2fc, b2_fdr_local_strict, b2_fdr_local_smart, b5_posterior_odds, l2_neighbours, f5_best_ties)
-}
+QUERIES = {f.__name__: f for f in (j8_posterior_discrete, j1_likelihood)}
 
 _OBS = "obs AS (SELECT l_orderkey AS variant, 0.90::DOUBLE + l_tax AS m, 0.05::DOUBLE + 9 * l_discount AS a, 1 - (0.05::DOUBLE + 9 * l_discount) AS r FROM lineitem)"
 _LN = "ln(m * ({v} * a + (1 - {v}) * r) + (1 - m) * (a + r) / 2)"
-_CALLS = """calls_view AS (SELECT o_orderkey, u * h AS high, u * (1 - h) AS low, (1 - u) * s AS absent, (1 - u) * (1 - s) AS artifact
-    FROM (SELECT o_orderkey, (o_orderkey % 97 + 1) / 98.0::DOUBLE AS u, (o_orderkey % 7 + 1) / 8.0::DOUBLE AS h, (o_orderkey % 13 + 1) / 15.0::DOUBLE AS s FROM orders))"""
 
 ORACLE = {
     "j8_posterior_discrete": f"""
@@ -89,12 +43,4 @@ ORACLE = {
         SELECT variant, round(greatest(-10 * (l0 - total) / ln(10), 0), 6) AS prob_absent, round(greatest(-10 * (l5 - total) / ln(10), 0), 6) AS prob_het, round(greatest(-10 * (l1 - total) / ln(10), 0), 6) AS prob_hom,
             CASE WHEN l0 >= l5 AND l0 >= l1 THEN 0.0::DOUBLE WHEN l5 >= l1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS af, dp FROM s""",
     "j1_likelihood": f"WITH {_OBS} SELECT variant, round(sum({_LN.format(v='0.5::DOUBLE')}), 6) AS ln_likelihood FROM obs GROUP BY variant",
-    "h1_phred_encode": f"WITH {_CALLS} SELECT o_orderkey, round(-10 * log10(high), 6) AS prob_high, round(-10 * log10(absent), 6) AS prob_absent FROM calls_view",
-    "h13_log2fc": """SELECT round(CASE WHEN l_discount = 0 AND l_tax = 0 THEN 0.0::DOUBLE WHEN l_tax = 0 THEN CAST('inf' AS DOUBLE) WHEN l_discount = 0 THEN CAST('-inf' AS DOUBLE) ELSE log2(l_discount) - log2(l_tax) END, 6) AS l2fc, count(*) AS n
-        FROM lineitem GROUP BY 1""",
-    "b2_fdr_local_strict": f"WITH {_CALLS} SELECT o_orderkey FROM calls_view WHERE high + low >= 0.7",
-    "b2_fdr_local_smart": f"WITH {_CALLS} SELECT o_orderkey FROM calls_view WHERE 1 - absent - artifact >= 0.7 AND high > 0.5",
-    "b5_posterior_odds": f"WITH {_CALLS} SELECT o_orderkey FROM calls_view WHERE (absent + artifact) / (high + low) <= 20",
-    "l2_neighbours": "SELECT user_id, event_id, lag(event_id) OVER w AS previous, lead(event_id) OVER w AS following FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
-    "f5_best_ties": "SELECT l_partkey, l_orderkey, l_linenumber, l_discount FROM (SELECT *, min(l_discount) OVER (PARTITION BY l_partkey) AS best FROM lineitem) WHERE l_discount = best",
 }
