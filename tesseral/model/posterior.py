@@ -25,6 +25,7 @@ from tesseral.functions import genomics as gn
 from tesseral.model import bias, likelihood
 from tesseral.model import observations as ob
 from tesseral.model.priors import ZERO, Prior
+from tesseral.session import Scratch
 
 #: Rows of a grid; scenarios with more need a coarser resolution.
 MOST_GRID = 500_000
@@ -100,10 +101,11 @@ def compile_grid(scenario: Scenario, contig: str = "all", vartype: str = "SNV",
 
 
 def frequency_likelihoods(obs: DataFrame, scenario: Scenario, grid: Grid, artifacts: tuple[str, ...] = ()) -> DataFrame:
-    """variant, artifact, op and log likelihood: the sum over observations, per distinct frequency of the grid.
+    """variant, artifact (its number, 0 for none), op and log likelihood: the sum over observations, per distinct frequency of the grid.
 
-    ``obs`` must be standard; with artifacts it must have the ``ok_<artifact>`` columns, and
-    an artifact is evaluated only where it is to be considered.
+    ``obs`` must be standard; with artifacts it must be a written table with the
+    ``ok_<artifact>`` columns: an artifact is evaluated, with an expression of its own, only
+    where it is to be considered.
     """
     spark = obs.sparkSession
     table = spark.createDataFrame([(s, i, float(v), None if by is None else float(by), scenario.samples[s].contamination) for i, (s, v, by) in enumerate(grid.ops)], "s string, op int, vaf double, vaf_by double, fraction double")
@@ -115,14 +117,12 @@ def frequency_likelihoods(obs: DataFrame, scenario: Scenario, grid: Grid, artifa
             return own
         return F.when(F.col("vaf_by").isNull(), own).otherwise(likelihood.contaminated(F.col("vaf"), F.col("vaf_by"), F.col("fraction"), artifact))
 
-    if not artifacts:
-        return met.groupBy("variant", F.lit("none").alias("artifact"), "op").agg(F.sum(value(None)).alias("ll"))
-    wanted = F.array_compact(F.array(F.lit("none"), *(F.when(F.col(f"ok_{a}"), F.lit(a)) for a in artifacts)))
-    met = met.withColumn("artifact", F.explode(wanted))
-    out = value("none")
-    for a in artifacts:
-        out = F.when(F.col("artifact") == a, value(a)).otherwise(out)
-    return met.groupBy("variant", "artifact", "op").agg(F.sum(out).alias("ll"))
+    parts = None
+    for k, a in enumerate(["none", *artifacts]):
+        mine = met if k == 0 else met.where(F.col(f"ok_{a}"))
+        one = mine.groupBy("variant", F.lit(k).alias("artifact"), "op").agg(F.sum(value(a if artifacts else None)).alias("ll"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
 
 
 def posteriors(obs: DataFrame, scenario: Scenario, variants: DataFrame | None = None, contig: str = "all", vartype: str = "SNV", absent_only: bool = True, biases: bias.Applicable | None = None, variant: str = "variant", sample: str = "sample") -> DataFrame:
@@ -143,14 +143,15 @@ def posteriors(obs: DataFrame, scenario: Scenario, variants: DataFrame | None =
     if artifacts:
         base = bias.learned(base)
         ok = bias.judged(bias.pileup_counts(base))
-        base = base.join(ok.withColumnRenamed("variant", "__v"), F.col("variant") == F.col("__v")).drop("__v")
+        base = Scratch(obs.sparkSession).table(base.join(ok.withColumnRenamed("variant", "__v"), F.col("variant") == F.col("__v")).drop("__v"))
     kind = dict(base.dtypes)["variant"]
     n_ops, n_samples = len(grid.ops), len(grid.samples)
     vectors = frequency_likelihoods(base, scenario, grid, artifacts).groupBy("variant").agg(F.collect_list(F.struct("artifact", "op", "ll")).alias("v"))  # at most artifacts x frequencies
+    vectors = vectors.select("variant", F.col("v.artifact").alias("v_artifact"), F.col("v.op").alias("v_op"), F.col("v.ll").alias("v_ll"))
     per_sample = base.groupBy("variant", "sample").agg(F.count("*").alias("n"), F.sum(F.exp("ln_map")).alias("dp"), F.bool_and(ob.positive_ref()).alias("ref"))
     facts = per_sample.groupBy(F.col("variant").alias("__v")).agg(
         *(F.max(F.when(F.col("sample") == s, (F.col("n") > CLEAR_REFERENCE) & F.col("ref"))).alias(f"clear_{i}") for i, s in enumerate(grid.samples)),
-        *(F.round(F.coalesce(F.max(F.when(F.col("sample") == s, F.col("dp"))), F.lit(0.0))).cast("int").alias(f"dp_{s}") for s in grid.samples),
+        *(F.round(F.round(F.coalesce(F.max(F.when(F.col("sample") == s, F.col("dp"))), F.lit(0.0)), 9)).cast("int").alias(f"dp_{s}") for s in grid.samples),
     )
     joined = vectors.join(facts, F.col("variant") == F.col("__v")).drop("__v")
     masks = [c for c in grid.changes if c]
@@ -174,15 +175,13 @@ def posteriors(obs: DataFrame, scenario: Scenario, variants: DataFrame | None =
         first = np.searchsorted(g.event_of, np.arange(len(g.events)))
         last = np.searchsorted(g.event_of, np.arange(len(g.events)), side="right")
         step = max(1, 2_000_000 // max(1, len(g.event_of)))
-        number = {a: i for i, a in enumerate(names)}
         for b in batches:
             for lo in range(0, len(b), step):
                 part = b.iloc[lo : lo + step]
                 n = len(part)
                 cube = np.full((len(names), n, n_ops), np.nan)
-                for i, v in enumerate(part["v"]):
-                    for x in v:
-                        cube[number[x["artifact"]], i, x["op"]] = x["ll"]
+                size = part["v_op"].map(len).to_numpy()
+                cube[np.concatenate(part["v_artifact"].to_list()), np.repeat(np.arange(n), size), np.concatenate(part["v_op"].to_list())] = np.concatenate(part["v_ll"].to_list())
                 clear = np.column_stack([part[f"clear_{i}"].fillna(False).to_numpy(bool) for i in range(n_samples)])
                 allowed = np.array(part["allowed"].tolist(), dtype=bool)[:, g.change_of] if masks else None
                 ruled_out = np.zeros((n, len(g.event_of)), bool)

@@ -15,8 +15,8 @@ LOW_DEPTH, PSEUDO = 20, 0.5
 
 
 def expected_depth(df: DataFrame, keys: Sequence[str], ln_map: str) -> DataFrame:
-    """``dp``: the rounded sum of the probabilities to be mapped right."""
-    return df.groupBy(*keys).agg(F.round(F.sum(F.exp(ln_map))).cast("int").alias("dp"))
+    """``dp``: the rounded sum of the probabilities to be mapped right; a half, up to rounding of the sum, goes up."""
+    return df.groupBy(*keys).agg(F.round(F.round(F.sum(F.exp(ln_map)), 9)).cast("int").alias("dp"))
 
 
 def log_product(df: DataFrame, keys: Sequence[str], x: Column, out: str = "ln_likelihood") -> DataFrame:

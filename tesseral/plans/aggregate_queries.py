@@ -298,7 +298,7 @@ def _simple(f: str, keep: str, name: str) -> str:
 ORACLE = {
     "d1_lse": "WITH l AS (SELECT l_orderkey, -l_quantity * 100 - l_linenumber AS x FROM lineitem), m AS (SELECT *, max(x) OVER (PARTITION BY l_orderkey) AS t FROM l) SELECT l_orderkey, round(max(t) + ln(sum(exp(x - t))), 6) + 0.0 AS y FROM m GROUP BY l_orderkey",
     "d2_logprod": f"WITH {v.LINES_SQL} SELECT l_suppkey AS variant, round(sum(ln(a)), 4) + 0.0 AS ln_likelihood FROM lines GROUP BY 1",
-    "d3_expected_depth": f"WITH {v.LINES_SQL} SELECT l_orderkey AS variant, l_linestatus AS sample, CAST(round(sum(m)) AS INT) AS dp FROM lines GROUP BY ALL",
+    "d3_expected_depth": f"WITH {v.LINES_SQL} SELECT l_orderkey AS variant, l_linestatus AS sample, CAST(round(round(sum(m), 9)) AS INT) AS dp FROM lines GROUP BY ALL",
     "d4_major_feature": f"""WITH {v.LINES_SQL}, c AS (SELECT l_partkey AS variant, l_linenumber AS f, count(*) AS n FROM lines WHERE a > r GROUP BY ALL), k AS (SELECT *, max(n) OVER (PARTITION BY variant) AS best FROM c)
         SELECT variant, CASE WHEN count(*) = 1 AND max(n) > 1 THEN max(f) END AS major FROM k WHERE n = best GROUP BY variant""",
     "d5_singleton": f"""WITH {v.LINES_SQL}, c AS (SELECT *, count(*) FILTER (a > r) OVER (PARTITION BY l_orderkey) AS n FROM lines)

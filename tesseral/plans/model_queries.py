@@ -267,7 +267,7 @@ QUERIES = v.named(
 _L = "ln(m * ({f} * a + (1 - {f}) * r) + (1 - m) * (a + r) / 2)"
 _NODES = "nodes AS (SELECT range / 10.0::DOUBLE AS f, ln((CASE WHEN range IN (0, 10) THEN 1 WHEN range % 2 = 1 THEN 4 ELSE 2 END) * 0.1::DOUBLE / 3) AS w FROM range(11))"
 _SINGLE = f"""{v.LINES_SQL}, {_NODES},
-    ll AS (SELECT l_orderkey AS variant, f, w, sum({_L.format(f='f')}) AS l, CAST(round(sum(m)) AS INT) AS dp, count(*) > 10 AND bool_and(r > 3 * a) AS clear FROM lines, nodes GROUP BY ALL),
+    ll AS (SELECT l_orderkey AS variant, f, w, sum({_L.format(f='f')}) AS l, CAST(round(round(sum(m), 9)) AS INT) AS dp, count(*) > 10 AND bool_and(r > 3 * a) AS clear FROM lines, nodes GROUP BY ALL),
     jo AS (SELECT variant, dp, f, 'absent' AS e, l AS j FROM ll WHERE f = 0 UNION ALL SELECT variant, dp, f, 'present', l + w FROM ll),
     tp AS (SELECT variant, max(j) AS t FROM jo GROUP BY variant), su AS (SELECT variant, any_value(t) + ln(sum(exp(j - t))) AS z FROM jo JOIN tp USING (variant) GROUP BY variant)"""
 _BIASED = {
@@ -300,7 +300,7 @@ ORACLE = {n: _bias_sql(n) for n in _BIASED} | {
     "j6_simpson": f"""WITH {_SINGLE} SELECT variant, greatest(round(-10 * ln(sum(exp(j - z)) FILTER (e = 'absent')) / ln(10), 5), 0) + 0.0 AS prob_absent, greatest(round(-10 * ln(sum(exp(j - z)) FILTER (e = 'present')) / ln(10), 5), 0) + 0.0 AS prob_present, any_value(dp) AS dp_s FROM jo JOIN su USING (variant) GROUP BY variant""",
     "d24_vaf_slice": f"""WITH {_SINGLE} SELECT variant, round(f, 2) + 0.0 AS vaf, round(l + w - z, 5) + 0.0 AS density FROM ll JOIN su USING (variant)""",
     "j8_two_samples": f"""WITH {v.LINES_SQL}, ff AS (SELECT unnest([0.0::DOUBLE, 0.5, 1.0]) AS f),
-        va AS (SELECT DISTINCT l_orderkey AS variant FROM lines), st AS (SELECT l_orderkey AS variant, l_linestatus AS s, count(*) > 10 AND bool_and(r > 3 * a) AS clear, CAST(round(sum(m)) AS INT) AS dp FROM lines GROUP BY ALL),
+        va AS (SELECT DISTINCT l_orderkey AS variant FROM lines), st AS (SELECT l_orderkey AS variant, l_linestatus AS s, count(*) > 10 AND bool_and(r > 3 * a) AS clear, CAST(round(round(sum(m), 9)) AS INT) AS dp FROM lines GROUP BY ALL),
         ll AS (SELECT l_orderkey AS variant, l_linestatus AS s, f, sum({_L.format(f='f')}) AS l FROM lines, ff GROUP BY ALL),
         g AS (SELECT va.variant, x.f AS vf, y.f AS vo, coalesce(a.l, 0) + coalesce(b.l, 0) AS j, coalesce(sf.clear, false) AS cf, coalesce(so.clear, false) AS co, coalesce(sf.dp, 0) AS dpf, coalesce(so.dp, 0) AS dpo FROM va, ff x, ff y LEFT JOIN ll a ON a.variant = va.variant AND a.s = 'F' AND a.f = x.f
             LEFT JOIN ll b ON b.variant = va.variant AND b.s = 'O' AND b.f = y.f LEFT JOIN st sf ON sf.variant = va.variant AND sf.s = 'F' LEFT JOIN st so ON so.variant = va.variant AND so.s = 'O'),
@@ -324,7 +324,7 @@ ORACLE = {n: _bias_sql(n) for n in _BIASED} | {
         k AS (SELECT *, least(floor(x * 4), 3) / 4 AS lo FROM s), l AS (SELECT c, m, i, n, CASE WHEN c = 1 THEN ln(1 - p) ELSE ln((0.1 + abs(lo - v)) * (1 - (x - lo) * 4) + (0.1 + abs(lo + 0.25 - v)) * (x - lo) * 4) END AS l FROM k),
         j AS (SELECT c, m, i, sum(l * n) AS j FROM l GROUP BY ALL), w AS (SELECT *, j + ln((CASE WHEN i IN (0, 100) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) / 300.0::DOUBLE) AS jw FROM j), t AS (SELECT max(jw) AS t FROM w), z AS (SELECT t + ln(sum(exp(jw - t))) AS z FROM w, t GROUP BY t)
         SELECT round(c, 2) + 0.0 AS contamination, m AS max_somatic, round(j - z, 3) + 0.0 AS ln_density FROM w, z""",
-    "j22_tumor_normal": f"""WITH {v.LINES_SQL} SELECT l_orderkey AS variant, 1.0::DOUBLE AS total, CAST(round(coalesce(sum(m) FILTER (l_linestatus = 'O'), 0)) AS INT) AS dp_tumor, CAST(round(coalesce(sum(m) FILTER (l_linestatus <> 'O'), 0)) AS INT) AS dp_normal FROM lines GROUP BY 1""",
+    "j22_tumor_normal": f"""WITH {v.LINES_SQL} SELECT l_orderkey AS variant, 1.0::DOUBLE AS total, CAST(round(round(coalesce(sum(m) FILTER (l_linestatus = 'O'), 0), 9)) AS INT) AS dp_tumor, CAST(round(round(coalesce(sum(m) FILTER (l_linestatus <> 'O'), 0), 9)) AS INT) AS dp_normal FROM lines GROUP BY 1""",
     "j23_scatter": """WITH i AS (SELECT call_id, sample_name, max(allelefreq_estimate) AS vaf FROM sample_info WHERE allelefreq_estimate BETWEEN 0 AND 1 GROUP BY ALL), n AS (SELECT sample_name, row_number() OVER (ORDER BY sample_name) AS k FROM (SELECT DISTINCT sample_name FROM samples))
         SELECT a.call_id, a.vaf AS x, b.vaf AS y, b.sample_name AS y_sample FROM i a JOIN i b USING (call_id) JOIN n na ON na.sample_name = a.sample_name AND na.k = 1 JOIN n nb ON nb.sample_name = b.sample_name AND nb.k IN (2, 3)""",
 }
