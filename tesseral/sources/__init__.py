@@ -1 +1 @@
-"""Readers and writers for the engine's file formats."""
+"""Readers and writers of variant files, sequences, observations and plots."""

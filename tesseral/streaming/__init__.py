@@ -1 +1 @@
-"""Structured Streaming counterparts of the ordered operators."""
+"""Operators on streams of calls."""
