@@ -114,7 +114,7 @@ def total(parts: list[Column]) -> Column:
 
 def forward_rate(all_strong: Column, forward: Column) -> Column:
     """Share of forward reads among those of the reference: any within (0, 1) of over 100, 0.5 where it is near, else null."""
-    share = forward / all_strong
+    share = F.try_divide(forward, all_strong)
     return F.when((all_strong > 100) & (share > 0) & (share < 1), share).when((all_strong > 2) & share.between(0.4, 0.6), F.lit(0.5))
 
 
@@ -178,11 +178,11 @@ def judged(counts: DataFrame) -> DataFrame:
     """Per variant, whether each artifact is to be considered: ``ok_<artifact>``, possible and informative and likely."""
 
     def likely(a: str) -> Column:
-        share = F.col(f"strong_{a}") / F.col("n_strong")
+        share = F.try_divide(F.col(f"strong_{a}"), F.col("n_strong"))
         return F.when(F.col("n_strong") >= LEAST_STRONG, share >= STRONG_SHARE).otherwise(~F.col("all_ref") & (F.col("n") > 0))
 
     both_ways = (F.col("n_alt") == 0) | ((F.col("n_longer") > 0) & (F.col("n_shorter") > 0))
-    rate_fits = (F.col("ref_expected") > 10) & (F.col("ref_major") > 0) & (F.abs(F.col("ref_major") / F.col("ref_expected") - F.col("ref_hit")) < 0.05)
+    rate_fits = (F.col("ref_expected") > 10) & (F.col("ref_major") > 0) & (F.abs(F.try_divide("ref_major", "ref_expected") - F.col("ref_hit")) < 0.05)
     summed = ("n", "n_uncertain", "ref_oriented", "ref_f1r2", "ref_one_strand", "ref_forward", "n_clipped", "n_alt", "alt_low", "n_ref", "ref_low", "n_loci")
     per = counts.groupBy("variant").agg(
         *(F.sum(c).alias(c) for c in summed),
@@ -191,7 +191,7 @@ def judged(counts: DataFrame) -> DataFrame:
         F.bool_or(rate_fits).alias("rate_fits"),
     )
     strand = forward_rate(F.col("ref_one_strand"), F.col("ref_forward")).isNotNull()
-    oriented = (F.col("n_uncertain") < F.col("n") / 2.0) & (F.col("ref_oriented") > 2) & (F.col("ref_f1r2") / F.col("ref_oriented")).between(0.3, 0.7)
+    oriented = (F.col("n_uncertain") < F.col("n") / 2.0) & (F.col("ref_oriented") > 2) & F.try_divide("ref_f1r2", "ref_oriented").between(0.3, 0.7)
     loci = (F.col("n_alt") > 0) & (F.col("alt_low") > F.col("n_alt") * 0.1) & (F.col("n_alt") - F.col("alt_low") < 10) & ((F.col("n_loci") > 0) | ((F.col("n_ref") > 0) & (F.col("ref_low") < F.col("n_ref") * 0.9)))
     informative = {"forward": strand, "reverse": strand, "f1r2": oriented, "f2r1": oriented, "position": F.col("rate_fits"), "softclip": F.col("n_clipped") > 0, "alt_locus": loci}
     no = F.lit(False)

@@ -186,7 +186,7 @@ def alignment_maxima(df: DataFrame, cigar: str, mapq: str, read_len: str, keys:
     ops = gn.cigar_ops(F.col(cigar))
     parts = df.select(*keys, F.col(mapq).alias("q"), F.col(read_len).alias("l"), gn.longest_operation(ops, "I").alias("i"), gn.longest_operation(ops, "D").alias("d"), gn.softclip_length(ops).alias("s"), F.exists(ops, lambda x: x["op"].isin("I", "D", "S", "H")).alias("irregular"))
     return parts.groupBy(*keys).agg(
-        F.max("q").alias("max_mapq"), F.max("l").alias("max_read_len"), F.max("i").alias("max_ins"), F.max("d").alias("max_del"), F.max(F.col("s") / F.col("l")).alias("frac_max_softclip"),
+        F.max("q").alias("max_mapq"), F.max("l").alias("max_read_len"), F.max("i").alias("max_ins"), F.max("d").alias("max_del"), F.max(F.try_divide("s", "l")).alias("frac_max_softclip"),
         F.count_if(F.col("s") > 0).alias("n_softclips"), F.count_if("irregular").alias("n_not_regular"), F.count("*").alias("n"),
     )
 
