@@ -266,11 +266,23 @@ def blank_leaked_spans(documents: DataFrame, leaks: DataFrame, doc_id: str = "do
         for t, s in zip(texts, spans):
             plain, masked = spoken.masked_text(t, shared.value)
             at = spoken.word_spans(masked)
-            kept, end = [], 0
-            # a passage over several cues goes word by word, so that the lines between stay
+            # a passage over several lines goes line by line, so that what stands between them stays
+            gone: list[tuple[int, int]] = []
             for k in sorted({k for x in s for k in range(x["first_word"], x["last_word"] + 1)}):
-                kept.append(plain[end : at[k][0]])
-                end = at[k][1]
+                if gone and not plain[gone[-1][1] : at[k][0]].strip(" \t"):
+                    gone[-1] = (gone[-1][0], at[k][1])
+                else:
+                    gone.append(at[k])
+            kept, end = [], 0
+            for first, last in gone:
+                if first == 0 or plain[first - 1] == "\n":
+                    while plain[last : last + 1] in (" ", "\t"):
+                        last += 1
+                else:
+                    while first > end and plain[first - 1] in " \t":
+                        first -= 1
+                kept.append(plain[end:first])
+                end = last
             done.append("".join(kept) + plain[end:])
         return pd.Series(done)
 
