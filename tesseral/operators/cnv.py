@@ -18,14 +18,14 @@ def poisson_ln(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """Log probability of counts; a mean of zero allows only none."""
     k, mean = np.asarray(k, float), np.asarray(mean, float)
     with np.errstate(divide="ignore", invalid="ignore"):
-        out = k * np.log(mean) - mean - _LGAMMA(k + 1).astype(float)
+        out = k * np.log(mean) - mean - np.asarray(_LGAMMA(k + 1), float)
     return np.where(mean > 0, out, np.where(k == 0, 0.0, -np.inf))
 
 
 def binomial_ln(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Log probability of k hits in n."""
     k, n, p = np.asarray(k, float), np.asarray(n, float), np.asarray(p, float)
-    choose = (_LGAMMA(n + 1) - _LGAMMA(k + 1) - _LGAMMA(n - k + 1)).astype(float)
+    choose = np.asarray(_LGAMMA(n + 1) - _LGAMMA(k + 1) - _LGAMMA(n - k + 1), float)
     with np.errstate(divide="ignore", invalid="ignore"):
         hits = np.where(k == 0, 0.0, k * np.log(p))
         rest = np.where(n - k == 0, 0.0, (n - k) * np.log1p(-p))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesseral.session import Scratch, within_keys
+
 
 def overlap_class(start: Column, end: Column, locus_start: Column, locus_end: Column) -> Column:
     """How a read (half open) lies to a locus: Enclosing, Left, Right, Enclosed or None.
@@ -72,31 +74,35 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_rang
 
 def coalesce_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, slack: int = 0) -> DataFrame:
     """Intervals of one key merged where the next begins at most ``slack`` after the reach so far: keys, first_start, last_end, n."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("__new", F.when(reach.isNull() | (F.col(start) > reach + slack), 1).otherwise(0))
-    runs = marked.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    scratch = Scratch(df.sparkSession)
+    slim = df.select(*keys, start, end)
+    reached = within_keys(scratch, slim, keys, [start, end], highest={"__reach": F.col(end)})
+    # of equal intervals one may open a run, and must come first
+    marked = reached.withColumn("__goes_on", F.when(F.col("__reach").isNull() | (F.col(start) > F.col("__reach") + slack), 0).otherwise(1))
+    runs = within_keys(scratch, marked.drop("__reach"), keys, [start, end, "__goes_on"], sums={"__run": 1 - F.col("__goes_on")})
     return runs.groupBy(*keys, "__run").agg(F.min(start).alias("first_start"), F.max(end).alias("last_end"), F.count("*").alias("n")).drop("__run")
 
 
 def sessionize(df: DataFrame, keys: Sequence[str], order: str, gap: Column | float, tie: Sequence[str] = (), out: str = "session") -> DataFrame:
     """Number (from 0) of the session of each row: a new one begins where the step to the previous row exceeds ``gap``."""
-    w = Window.partitionBy(*keys).orderBy(order, *tie)
-    step = F.col(order) - F.lag(order).over(w)
-    return df.withColumn("__new", F.when(step > gap, 1).otherwise(0)).withColumn(out, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    scratch = Scratch(df.sparkSession)
+    stepped = within_keys(scratch, df, keys, [order, *tie], previous={"__before": order})
+    marked = stepped.withColumn("__new", F.when(F.col(order) - F.col("__before") > gap, 1).otherwise(0)).drop("__before")
+    return within_keys(scratch, marked, keys, [order, *tie], sums={out: F.col("__new")}).drop("__new")
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str] = ()) -> DataFrame:
     """Adds ``previous`` and ``following`` value of ``order`` within the keys."""
-    w = Window.partitionBy(*keys).orderBy(order, *tie)
-    return df.withColumn("previous", F.lag(order).over(w)).withColumn("following", F.lead(order).over(w))
+    return within_keys(Scratch(df.sparkSession), df, keys, [order, *tie], previous={"previous": order}, following={"following": order})
 
 
 def run_lengths(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: str) -> DataFrame:
-    """Runs of equal adjacent items: keys, run_no (from 1), item, run_length."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    new = F.when(F.lag(item).over(w).eqNullSafe(F.col(item)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    runs = df.withColumn("__new", new).withColumn("run_no", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Runs of equal adjacent items: keys, run_no (from 1), item, run_length; null items are equal to one another."""
+    scratch = Scratch(df.sparkSession)
+    boxed = df.withColumn("__boxed", F.struct(item))
+    stepped = within_keys(scratch, boxed, keys, order, previous={"__before": "__boxed"})
+    new = F.when(F.col("__before").isNotNull() & F.col(f"__before.{item}").eqNullSafe(F.col(item)), 0).otherwise(1)
+    runs = within_keys(scratch, stepped.withColumn("__new", new).drop("__before", "__boxed"), keys, order, sums={"run_no": F.col("__new")})
     return runs.groupBy(*keys, "run_no").agg(F.first(item).alias("item"), F.count("*").alias("run_length"))
 
 
@@ -112,26 +118,20 @@ def with_neighbours_at_locus(df: DataFrame, locus: Sequence[str], item: str, ind
 
 def require_sorted(df: DataFrame, keys: Sequence[str], order: str, ordinal: str) -> DataFrame:
     """The rows, or an error when the plan runs where one's position is before that of the previous ordinal of its key."""
-    w = Window.partitionBy(*keys).orderBy(ordinal)
-    fine = F.lag(order).over(w).isNull() | (F.col(order) >= F.lag(order).over(w))
-    return df.withColumn("__fine", fine).where(F.assert_true(F.col("__fine"), F.lit("records are not sorted")).isNull()).drop("__fine")
-
-
-def assert_sorted(df: DataFrame, keys: Sequence[str], order: str, ordinal: str) -> DataFrame:
-    """Rows that break the order: their position is before that of the previous ordinal."""
-    w = Window.partitionBy(*keys).orderBy(ordinal)
-    return df.withColumn("__last", F.lag(order).over(w)).where(F.col(order) < F.col("__last")).drop("__last")
+    stepped = within_keys(Scratch(df.sparkSession), df, keys, [ordinal], previous={"__before": order})
+    fine = F.col("__before").isNull() | (F.col(order) >= F.col("__before"))
+    return stepped.where(F.assert_true(fine, F.lit("records are not sorted")).isNull()).drop("__before")
 
 
 def dense_ids(df: DataFrame, scope: Sequence[str], item: str, order: str, out: str = "dense_id") -> DataFrame:
     """Numbers items per scope (from 0) by their first appearance."""
     first = df.groupBy(*scope, item).agg(F.min(order).alias("__first"))
-    return first.withColumn(out, F.row_number().over(Window.partitionBy(*scope).orderBy("__first", item)) - 1).drop("__first")
+    return record_index(first, scope, ["__first", item], out).drop("__first")
 
 
 def record_index(df: DataFrame, scope: Sequence[str], order: Sequence[str], out: str = "record_index") -> DataFrame:
     """0-based running index of rows within a scope."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*scope).orderBy(*order)) - 1)
+    return within_keys(Scratch(df.sparkSession), df, scope, order, sums={out: F.lit(1)}).withColumn(out, F.col(out) - 1)
 
 
 def best_with_ties(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:

@@ -287,13 +287,13 @@ ORACLE = {
         SELECT o_orderkey, string_agg(x.e, ',' ORDER BY round(10 * log10(x.s), 6) DESC, x.e) AS events FROM l GROUP BY o_orderkey""",
     "e5_regression": """WITH p AS (SELECT 1 / allelefreq_estimate AS x, count(*) AS n FROM (SELECT DISTINCT * FROM sample_info) WHERE allelefreq_estimate > 0.1 AND allelefreq_estimate <= 1 GROUP BY 1), c AS (SELECT x, sum(n) OVER (ORDER BY x) AS y FROM p)
         SELECT round(regr_slope(y, x), 3) AS slope, round(regr_intercept(y, x), 3) AS intercept FROM c""",
-    "e6_dense_ids": "WITH f AS (SELECT event_type, user_id, min(event_id) AS e FROM events GROUP BY ALL) SELECT event_type, user_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY e, user_id) - 1 AS INT) AS dense_id FROM f",
+    "e6_dense_ids": "WITH f AS (SELECT event_type, user_id, min(event_id) AS e FROM events GROUP BY ALL) SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY e, user_id) - 1 AS dense_id FROM f",
     "e7_rle": """WITH m AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
         r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run_no FROM m) SELECT user_id, CAST(run_no AS BIGINT) AS run_no, any_value(event_type) AS item, count(*) AS run_length FROM r GROUP BY user_id, run_no""",
     "e8_density_fmt": """WITH d AS (SELECT DISTINCT * FROM sample_info), u AS (SELECT call_id, sample_name, list_transform(string_split(vaf_dist, ','), lambda x: {'v': try_cast(string_split(x, '=')[1] AS DOUBLE), 'p': try_cast(string_split(x, '=')[2] AS DOUBLE)}) AS l FROM d WHERE vaf_dist IS NOT NULL),
         k AS (SELECT call_id, sample_name, list_filter(l, lambda x: x.v IS NOT NULL AND x.p IS NOT NULL) AS l FROM u)
         SELECT call_id, sample_name, CAST(len(l) AS INT) AS n, round(list_min(list_transform(l, lambda x: x.v)), 3) + 0.0 AS lowest, round(list_max(list_transform(l, lambda x: x.p)), 2) + 0.0 AS worst FROM k""",
-    "e9_record_index": "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS INT) AS record_index FROM lineitem",
+    "e9_record_index": "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS record_index FROM lineitem",
     "f1_sorted_probs": f"WITH {_ERRORS}, p AS (SELECT error, count(*) AS n FROM err GROUP BY error) SELECT error, n, CAST(sum(n) OVER (ORDER BY error) - n AS BIGINT) AS rank FROM p",
     "f2_first_records": "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 25",
     "f5_best_ties": "SELECT l_partkey, l_orderkey, l_linenumber, l_discount FROM (SELECT *, min(l_discount) OVER (PARTITION BY l_partkey) AS best FROM lineitem) WHERE l_discount = best",

@@ -138,7 +138,7 @@ ORACLE = {
         SELECT a.event_id, coalesce(string_agg(b.user_id::VARCHAR, ',' ORDER BY b.event_id), '') AS others FROM e a LEFT JOIN e b ON a.event_type = b.event_type AND a.m = b.m AND a.event_id <> b.event_id GROUP BY a.event_id""",
     "a3_sorted_guard": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id",
     "a6_coalesce": f"""WITH {_READS}, m AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM reads),
-        g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + 3 THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT contig, min(start) AS first_start, max(stop) AS last_end, count(*) AS n FROM g GROUP BY contig, k""",
+        h AS (SELECT *, CASE WHEN reach IS NULL OR start > reach + 3 THEN 1 ELSE 0 END AS new FROM m), g AS (SELECT *, sum(new) OVER (PARTITION BY contig ORDER BY start, stop, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM h) SELECT contig, min(start) AS first_start, max(stop) AS last_end, count(*) AS n FROM g GROUP BY contig, k""",
     "c1_range_join": f"WITH {_READS}, {_LOCI} SELECT p_partkey, count(*) AS n, min(start) AS first_start FROM reads r JOIN loci l ON r.contig = l.contig AND r.start < l.hi AND l.lo < r.stop AND l.hi > l.lo AND r.stop > r.start GROUP BY p_partkey",
     "c1_overlap_class": f"""WITH {_READS} SELECT CASE WHEN start <= 60 THEN CASE WHEN stop >= 80 THEN 'Enclosing' WHEN stop >= 60 THEN 'Left' ELSE 'None' END WHEN stop >= 80 AND start < 80 THEN 'Right' WHEN stop <= 80 THEN 'Enclosed' ELSE 'None' END AS overlap, count(*) AS n
         FROM reads WHERE start < 200 GROUP BY 1""",

@@ -150,6 +150,12 @@ def h22_cigar_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines
 
 
+def h23_homopolymer_indel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of single homopolymer indels among alleles made of a base repeated."""
+    parts = v.read(spark, sf_dir, "part").withColumns({"ref": F.concat(F.lit("C"), F.repeat(F.lit("A"), (F.col("p_size") % 5 + 2).cast("int")), F.lit("G")), "alt": F.concat(F.lit("C"), F.repeat(F.lit("A"), (F.col("p_partkey") % 7 + 2).cast("int")), F.lit("G"))})
+    return parts.groupBy(rd.homopolymer_indel_len(F.col("ref"), F.col("alt")).alias("len")).agg(F.count("*").alias("n"))
+
+
 def h24_homopolymer_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = v.read(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") - 4).alias("len")).agg(F.count("*").alias("p"))
     return pileup.homopolymer_model(shares, "len", "p").select("len", _r(F.col("ln_prob")).alias("ln_prob"))
@@ -219,7 +225,7 @@ def h35_ploidy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = v.named(
     h1_phred_decode, h2_log1mexp, h3_logaddexp, h4_cap, h5_kass_raftery, h6_bayes_letter, h7_read_base_prob, h8_isize_pmf, h9_insert_size, h10_sample_alt_read, h11_sample_alt_fragment, h12_either, h13_log2fc, h13_fold_bounds, h14_cmp,
-    h15_signature, h16_genotype, h17_bucket, h18_alt_hits, h19_flags, h20_orientation, h21_entire_fragment, h22_cigar_facts, h24_homopolymer_model, h25_significant, h26_breakends, h28_converted, h29_phred_scale, h30_anonymise,
+    h15_signature, h16_genotype, h17_bucket, h18_alt_hits, h19_flags, h20_orientation, h21_entire_fragment, h22_cigar_facts, h23_homopolymer_indel, h24_homopolymer_model, h25_significant, h26_breakends, h28_converted, h29_phred_scale, h30_anonymise,
     h31_short_hash, h32_explained, h33_allele_support, h34_motif_positions, h35_ploidy,
 )
 
@@ -260,6 +266,7 @@ ORACLE = {
     "h21_entire_fragment": "SELECT l_linenumber = 2 AS entire, count(*) AS n FROM lineitem GROUP BY 1",
     "h22_cigar_facts": """SELECT l_orderkey, l_linenumber, l_linenumber AS softclip, l_linenumber % 2 = 0 AS indel, CAST(l_quantity AS INT) + CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber + 5 ELSE 0 END AS ref_len,
         CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber END AS max_del FROM lineitem""",
+    "h23_homopolymer_indel": "SELECT CAST(nullif(p_partkey % 7 - p_size % 5, 0) AS INT) AS len, count(*) AS n FROM part GROUP BY 1",
     "h24_homopolymer_model": "WITH s AS (SELECT l_linenumber - 4 AS len, count(*) AS p FROM lineitem WHERE l_linenumber <> 4 GROUP BY 1) SELECT len, round(ln(p / (SELECT sum(p) FROM s)), 6) AS ln_prob FROM s",
     "h25_significant": """SELECT CASE WHEN x >= 100 THEN printf('%.0f', x) WHEN x >= 10 THEN printf('%.1f', x) WHEN x >= 1 THEN printf('%.2f', x) ELSE printf('%.3f', x) END AS text, CASE WHEN y >= 0.0001 THEN printf('%.5f', y) ELSE printf('%.6f', y) END AS small, count(*) AS n
         FROM (SELECT l_quantity * l_quantity / 7 AS x, l_quantity / 70000 AS y FROM lineitem) GROUP BY ALL""",

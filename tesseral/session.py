@@ -168,3 +168,43 @@ def running(scratch: Scratch, df: DataFrame, order: Sequence[Column | str], sums
         own = F.sum(f"__s_{n}").over(inner)
         out = out.withColumn(n, F.when(F.col(f"__p_{n}").isNull(), own).otherwise(own + F.col(f"__p_{n}")))
     return out.select(*df.columns, *sums)
+
+
+def within_keys(scratch: Scratch, df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column] | None = None, highest: dict[str, Column] | None = None, previous: dict[str, str] | None = None, following: dict[str, str] | None = None) -> DataFrame:
+    """Running values within keys, in an order, without one task per key.
+
+    Rows are cut in slices of (keys, order), so that a hot key is spread over many; what a
+    key carries from one slice to the next is worked out on a row per slice and key.  Adds
+    ``sums`` (up to and with each row; null counts as zero), ``highest`` (largest value of
+    the rows before), ``previous`` and ``following`` (a column of the neighbouring rows).
+    Rows equal in keys and order come in any sequence.  A null key is a key.
+    """
+    sums, highest, previous, following = sums or {}, highest or {}, previous or {}, following or {}
+    keys, order = list(keys), list(order)
+    added = {f"__s_{n}": F.coalesce(x, F.lit(0)) for n, x in sums.items()} | {f"__h_{n}": x for n, x in highest.items()}
+    sliced = scratch.table(df.withColumns(added).repartitionByRange(*keys, *order).withColumn("__slice", F.spark_partition_id()) if added else df.repartitionByRange(*keys, *order).withColumn("__slice", F.spark_partition_id()))
+    rank = F.struct(*order)
+    parts = [F.sum(f"__s_{n}").alias(f"__s_{n}") for n in sums] + [F.max(f"__h_{n}").alias(f"__h_{n}") for n in highest]
+    parts += [F.max_by(F.struct(c), rank).alias(f"__p_{n}") for n, c in previous.items()] + [F.min_by(F.struct(c), rank).alias(f"__f_{n}") for n, c in following.items()]
+    per = sliced.groupBy("__slice", *keys).agg(*(parts or [F.count("*").alias("__n")]))
+    across = Window.partitionBy(*keys).orderBy("__slice")  # a row per slice
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(
+        F.col("__slice").alias("__c_slice"),
+        *(F.col(k).alias(f"__k_{k}") for k in keys),
+        *(F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__cs_{n}") for n in sums),
+        *(F.max(f"__h_{n}").over(before).alias(f"__ch_{n}") for n in highest),
+        *(F.lag(f"__p_{n}").over(across).alias(f"__cp_{n}") for n in previous),
+        *(F.lead(f"__f_{n}").over(across).alias(f"__cf_{n}") for n in following),
+    )
+    same = F.col("__slice") == F.col("__c_slice")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    joined = sliced.join(carry, same)
+    here = Window.partitionBy("__slice", *keys).orderBy(*order)
+    upto, earlier = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
+    new = {n: F.sum(f"__s_{n}").over(upto) + F.col(f"__cs_{n}") for n in sums}
+    new |= {n: F.greatest(F.max(f"__h_{n}").over(earlier), F.col(f"__ch_{n}")) for n in highest}
+    new |= {n: F.coalesce(F.lag(F.struct(c)).over(here), F.col(f"__cp_{n}"))[c] for n, c in previous.items()}
+    new |= {n: F.coalesce(F.lead(F.struct(c)).over(here), F.col(f"__cf_{n}"))[c] for n, c in following.items()}
+    return joined.select(*df.columns, *(x.alias(n) for n, x in new.items()))
