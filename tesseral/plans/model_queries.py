@@ -315,7 +315,7 @@ ORACLE = {n: _bias_sql(n) for n in _BIASED} | {
     "j13_population": "SELECT CAST(range AS INT) AS n_alt, round(CASE WHEN range > 0 THEN 0.001::DOUBLE / range ELSE 1 - 0.001::DOUBLE * (1 + 1 / 2 + 1 / 3 + 1 / 4) END, 9) + 0.0 AS p FROM range(5)",
     "j14_mendelian": f"WITH k AS ({_THREE}), {_INHERIT} SELECT father, mother, child, round(p, 9) + 0.0 AS p FROM q",
     "j16_somatic": "SELECT CAST(range AS INT) AS tenth, CASE WHEN range = 0 THEN 0.999::DOUBLE ELSE 0.001 END AS p FROM range(11)",
-    "j17_absent_only": f"WITH k AS ({_THREE}), {_INHERIT}, z AS (SELECT *, p * {_POP} AS full FROM q) SELECT child, father, mother, round(CASE WHEN child + father + mother = 0 THEN full WHEN full = 0 THEN 0 ELSE 1 - (SELECT full FROM z WHERE child + father + mother = 0) END, 9) + 0.0 AS p FROM z",
+    "j17_absent_only": f"WITH k AS ({_THREE}), {_INHERIT}, z AS (SELECT *, p * {_POP} AS whole FROM q) SELECT child, father, mother, round(CASE WHEN child + father + mother = 0 THEN whole WHEN whole = 0 THEN 0 ELSE 1 - (SELECT whole FROM z WHERE child + father + mother = 0) END, 9) + 0.0 AS p FROM z",
     "j18_fractions": "SELECT unnest(['SNV', 'MNV', 'INS', 'DEL', 'REP', 'INV', 'DUP', 'BND', 'METH']) AS vartype, unnest([1.0::DOUBLE, 0.001, 0.0125, 0.0125, 0.0125, 0.01, 0.01, 0.01, 1.0]) AS fraction",
     "j19_prior_check": "SELECT unnest(['no_rate', 'no_ploidy', 'fine']) AS name, unnest([false, false, true]) AS valid",
     "j20_prior_plot": "SELECT unnest([0.0::DOUBLE, 0.5, 0.625, 0.75, 0.875, 1.0]) AS vaf, unnest([1.0::DOUBLE, 0.0, 1.0, 1.0, 1.0, 1.0]) AS p",
