@@ -112,6 +112,19 @@ def test_packed_fields_come_from_the_lattice(spark):
     assert packed.split_packed(df.where("false"), "id", "item_value", ",;").count() == 0
 
 
+def test_packed_fields_with_one_reading_need_no_model(spark, monkeypatch):
+    rows = [(i, '"a,x') for i in range(40)] + [(100 + i, 'y,b"') for i in range(40)] + [(200, '"a,b"'), (201, '"a,b" ;"c;d"""')]
+    df = spark.createDataFrame(rows, "id long, x string")
+    # a model of this column cuts the one span that is closed
+    assert values(packed.split_packed(df, "id", "x", ",;", exact_check=False))[200] == [(1, '"a'), (2, 'b"')]
+    monkeypatch.setattr(packed, "learn_values", lambda *_: pytest.fail("a model was fitted that no row depends on"))
+    got = values(packed.split_packed(df, "id", "x", ",;"))
+    assert got[0] == [(1, '"a'), (2, "x")] and got[100] == [(1, "y"), (2, 'b"')]
+    assert got[200] == [(1, "a,b")] and got[201] == [(1, "a,b"), (2, 'c;d"')]
+    with pytest.raises(ValueError, match="exact_check"):
+        packed.split_packed(df, "id", "x", ",;", learned=packed.uninformed(",;"))
+
+
 def test_separators_that_belong_to_values(spark):
     names = ["Smith, J, Jr", "Doe, A", "Roe, B"]
     rows = [(i, ";".join([names[i % 3], f"v{i}", names[(i + 1) % 3]])) for i in range(300)]
