@@ -1,4 +1,5 @@
 import math
+import random
 from itertools import product
 
 import numpy as np
@@ -46,6 +47,50 @@ def test_posterior_against_brute_force(spark):
     assert (got["af_a"], got["af_b"]) == max(within, key=lambda v: ll(*v)) and got["dp_a"] == 5
 
 
+def test_posteriors_stream_by_without_rows_per_frequency(spark, monkeypatch):
+    monkeypatch.setattr(posterior, "frequency_likelihoods", lambda *_: pytest.fail("a row is made for each observation and frequency"))
+    s = Scenario.from_yaml('samples: {t: {resolution: 0.1, contamination: {by: n, fraction: 0.25}, universe: "[0.0,1.0]"}, n: {universe: "0.0 | 0.5 | 1.0"}}\nevents: {some: "t:]0.0,1.0] & n:0.0", het: "t:]0.0,1.0] & n:0.5", hom: "t:]0.0,1.0] & n:1.0"}')
+    rnd = random.Random(5)
+    pileups = {"deep": 90, "sampled": 7, "sure": 3, "tiny": 40, "normal only": 0}
+    reads = []
+    for v, n in pileups.items():
+        for sample, k in (("t", n), ("n", n // 2 or 2)):
+            for _ in range(k):
+                a, r = {"sure": (1.0, 0.0), "tiny": (1e-140, 1e-150)}.get(v, (rnd.uniform(0.1, 0.9), rnd.uniform(0.1, 0.9)))
+                reads.append({"variant": v, "sample": sample, "ln_map": 0.0 if v in ("sure", "tiny") else math.log(rnd.uniform(0.8, 1.0)), "ln_alt": math.log(a), "ln_ref": math.log(r) if r else -math.inf, "ln_sample_alt": math.log(rnd.uniform(0.5, 1.0)) if v == "sampled" else 0.0})
+    rnd.shuffle(reads)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a pileup goes on over many batches
+    try:
+        df = spark.createDataFrame(reads, "variant string, sample string, ln_map double, ln_alt double, ln_ref double, ln_sample_alt double")
+        got = {r["variant"]: r for r in posterior.posteriors(df, s).collect()}
+        assert "afd_t" not in posterior.posteriors(df, s, densities=False).columns
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert set(got) == set(pileups)
+
+    def ll(v, t, n):
+        out = 0.0
+        for r in reads:
+            if r["variant"] == v:
+                a, ref, m = math.exp(r["ln_alt"]), math.exp(r["ln_ref"]), math.exp(r["ln_map"])
+                own = lambda x: (e := 1.0 if x == 1 else x * math.exp(r["ln_sample_alt"])) * a + (1 - e) * ref
+                p = m * (0.75 * own(t) + 0.25 * own(n) if r["sample"] == "t" else own(n)) + (1 - m) * (a + ref) / 2
+                out += math.log(p) if p > 0 else -math.inf
+        return out
+
+    nodes = [(k / 10, math.log(0.1 / 3 * (1 if k in (0, 10) else 4 if k % 2 else 2))) for k in range(11)]
+    for v in pileups:
+        joint = {"absent": [ll(v, 0.0, 0.0)]} | {e: [w + ll(v, t, n) for t, w in nodes] for e, n in (("some", 0.0), ("het", 0.5), ("hom", 1.0))}
+        total = priors.log_sum([x for xs in joint.values() for x in xs])
+        for e, xs in joint.items():
+            want = -10 / math.log(10) * (priors.log_sum(xs) - total)
+            assert math.isclose(got[v][f"prob_{e}"], max(want, 0), rel_tol=1e-9, abs_tol=1e-9), (v, e)
+        assert got[v]["dp_t"] == int(sum(math.exp(r["ln_map"]) for r in reads if r["variant"] == v and r["sample"] == "t") + 0.5)
+    one = got["sure"]
+    assert (one["best_event"], one["af_n"]) == ("hom", 1.0) and [x["vaf"] for x in one["afd_n"]] == [0.5, 1.0]
+
+
 def test_substitutions_and_missing_samples(spark):
     s = Scenario.from_yaml('samples: {a: {universe: "0.0 | 0.5"}, b: {universe: "0.0 | 0.5"}}\nevents: {cg: "C>G & a:0.5", other: "!C>G & a:0.5"}')
     obs = spark.createDataFrame(rows_of(spark, 4, 0.9, 0.1, "a", 1) + rows_of(spark, 4, 0.9, 0.1, "a", 2))
