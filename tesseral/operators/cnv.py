@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Gains from -2 to 20, and ten frequencies of the changed cells.
 GAINS, FREQUENCIES = range(-2, 21), tuple(k / 10 for k in range(1, 11))
 _LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
+#: Columns of a call.
+VALUES = ("depth_tumor", "depth_normal", "vaf_tumor", "prob_het")
+#: Calls that are gathered before their regions are worked out, regions worked out side by side, and calls whose emissions are there at once.
+BUFFER, SIDE_BY_SIDE, BLOCK = 60_000, 128, 16_384
 
 
 def poisson_ln(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -64,67 +70,231 @@ def transitions(n: int, least_factor: float) -> tuple[float, float]:
     return math.log((1 + e) / (n + e)), math.log(1 / (n + e))
 
 
+def _steps(emit: Callable[[np.ndarray], np.ndarray], codes: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """The calls of regions side by side: first calls of all, second calls, and so on.
+
+    ``lens`` must descend, so that the regions that go on at a step are the first ones.
+    ``emit`` gives the emissions of codes; calls with equal codes share theirs.  Returns where
+    each step begins in the order of steps, and per step its number, emissions and which of
+    them each region has.
+    """
+    begins = np.cumsum(lens) - lens
+    step = np.arange(int(lens.sum())) - np.repeat(begins, lens)
+    order = np.argsort(step, kind="stable")
+    flat = codes[(np.repeat(starts, lens) + step)[order]]
+    offsets = np.r_[0, np.cumsum(np.bincount(step))]
+
+    def walk() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        k = 0
+        while k < len(offsets) - 1:
+            z = max(k + 1, int(np.searchsorted(offsets, offsets[k] + BLOCK, side="right")) - 1)
+            which, at = np.unique(flat[offsets[k] : offsets[z]], return_inverse=True)
+            rows = emit(which)
+            for s in range(k, z):
+                yield s, rows, at[offsets[s] - offsets[k] : offsets[s + 1] - offsets[k]]
+            k = z
+
+    return offsets, walk()
+
+
+def _side_by_side(lens: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of regions in groups of similar length, each in descending order of it."""
+    order = np.argsort(-lens, kind="stable")
+    for k in range(0, len(order), SIDE_BY_SIDE):
+        yield order[k : k + SIDE_BY_SIDE]
+
+
+def stretches(emit: Callable[[np.ndarray], np.ndarray], n_states: int, codes: np.ndarray, starts: np.ndarray, lens: np.ndarray, least_factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First call, end and state of the stretches of the likeliest path of each region, in order.
+
+    Changes cost the same whatever the states, so that the best predecessor is the state
+    itself or the best of all.  A path is therefore known from the best state at each call and
+    the call at which that was last changed to; nothing is kept per state.
+    """
+    keep, change = transitions(n_states, least_factor)
+    found = []
+    for group in _side_by_side(lens):
+        offsets, walk = _steps(emit, codes, starts[group], lens[group])
+        score, since = np.empty((len(group), n_states)), np.zeros((len(group), n_states), np.int32)
+        every, tops, top_since = np.arange(len(group)), np.empty(offsets[-1], np.int32), np.empty(offsets[-1], np.int32)
+        best = np.empty(0)
+        for s, rows, at in walk:
+            m = len(at)
+            now, begun = score[:m], since[:m]
+            if s == 0:
+                now[:] = rows[at] - math.log(n_states)
+            else:
+                moved = (best[:m] + change)[:, None]
+                now += keep
+                np.copyto(begun, s, where=~(now >= moved))
+                np.maximum(now, moved, out=now)
+                now += rows[at]
+            top = now.argmax(axis=1)
+            best = now[every[:m], top]
+            tops[offsets[s] : offsets[s + 1]], top_since[offsets[s] : offsets[s + 1]] = top, begun[every[:m], top]
+        i, last = every, lens[group] - 1
+        while len(i):
+            here = offsets[last] + i
+            found.append(np.stack([starts[group][i] + top_since[here], starts[group][i] + last + 1, tops[here]]))
+            last = top_since[here] - 1
+            i, last = i[last >= 0], last[last >= 0]
+    first, end, state = (x := np.concatenate(found, axis=1))[:, np.argsort(x[0], kind="stable")]
+    new = np.r_[True, (state[1:] != state[:-1]) | np.isin(first[1:], starts)]
+    at = np.flatnonzero(new)
+    return first[at], end[np.r_[at[1:], len(first)] - 1], state[at]
+
+
+def log_likelihoods(emit: Callable[[np.ndarray], np.ndarray], n_states: int, codes: np.ndarray, starts: np.ndarray, lens: np.ndarray, least_factor: float) -> np.ndarray:
+    """Log likelihood of each region over all states.
+
+    Shares of the states are linear and sum to one after each call.  None is less than the
+    chance to change before a call, and emissions are multiples of the largest one, so that
+    a sum can't underflow.
+    """
+    keep, change = map(math.exp, transitions(n_states, least_factor))
+    out = np.empty(len(lens))
+
+    def scaled(which: np.ndarray) -> np.ndarray:
+        rows = emit(which)
+        top = rows.max(axis=1, keepdims=True)
+        top = np.where(top == -np.inf, 0.0, top)
+        return np.hstack([np.exp(rows - top), top])
+
+    for group in _side_by_side(lens):
+        share, total, ll = np.empty((len(group), n_states)), np.ones(len(group)), np.zeros(len(group))
+        _, walk = _steps(scaled, codes, starts[group], lens[group])
+        for s, rows, at in walk:
+            m = len(at)
+            now, emitted = share[:m], rows[at]
+            if s == 0:
+                now[:] = 1 / n_states
+            else:
+                now *= ((keep - change) / total[:m])[:, None]
+                now += change
+            now *= emitted[:, :-1]
+            sums = now.sum(axis=1)
+            with np.errstate(divide="ignore"):
+                ll[:m] += np.log(sums) + emitted[:, -1]
+            total[:m] = np.where(sums == 0, 1.0, sums)  # impossible from here on
+        out[group] = ll
+    return out
+
+
 def viterbi(emit: np.ndarray, least_factor: float) -> np.ndarray:
-    """Likeliest states of a region; changes cost the same whatever the states, so that the best predecessor is the state itself or the best of all."""
-    keep, change = transitions(emit.shape[1], least_factor)
-    score, back = emit[0] - math.log(emit.shape[1]), []
-    for row in emit[1:]:
-        top = int(score.argmax())
-        moved = score[top] + change
-        stay = score + keep
-        back.append(np.where(stay >= moved, np.arange(len(score)), top))
-        score = np.maximum(stay, moved) + row
-    path = [int(score.argmax())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    return np.array(path[::-1])
+    """Likeliest states of a region."""
+    first, end, state = stretches(emit.__getitem__, emit.shape[1], np.arange(len(emit)), np.zeros(1, int), np.array([len(emit)]), least_factor)
+    return np.repeat(state, end - first)
 
 
 def forward(emit: np.ndarray, least_factor: float) -> float:
     """Log likelihood of a region over all states."""
-    keep, change = transitions(emit.shape[1], least_factor)
-    f = emit[0] - math.log(emit.shape[1])
-    for row in emit[1:]:
-        top = f.max()
-        every = top + math.log(np.exp(f - top).sum())
-        # from any state by a change, and the own one by what keeping adds to that
-        f = row + np.logaddexp(every + change, f + math.log(math.exp(keep) - math.exp(change)))
-    top = f.max()
-    return float(top + math.log(np.exp(f - top).sum()))
-
-
-def call_cnvs(df: DataFrame, region: Sequence[str], order: str, depth_factor: float, purity: float = 1.0, least_factor: float = 100.0) -> DataFrame:
+    return float(log_likelihoods(emit.__getitem__, emit.shape[1], np.arange(len(emit)), np.zeros(1, int), np.array([len(emit)]), least_factor)[0])
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before; a null is a value."""
+    none = column.is_null().to_numpy(zero_copy_only=False)
+    differs = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).fill_null(False).to_numpy(zero_copy_only=False)
+    return np.r_[True, differs | (none[1:] != none[:-1])]
+
+
+def _coded(rows: pa.RecordBatch) -> tuple[np.ndarray, pd.DataFrame]:
+    """A number for each call, and the distinct calls in order of their numbers."""
+    values = pd.DataFrame({c: rows.column(c).to_numpy(zero_copy_only=False) for c in VALUES})
+    code = np.zeros(len(values), np.int64)
+    for c in VALUES:
+        own, seen = pd.factorize(values[c], use_na_sentinel=False)
+        code = pd.factorize(code * len(seen) + own)[0]
+    first = np.unique(code, return_index=True)[1]
+    return code, values.iloc[first]
+
+
+def _by_region(df: DataFrame, region: Sequence[str], order: str, gap: float | None, work: Callable, schema: str) -> DataFrame:
+    """Rows that ``work`` gives for batches of whole regions: of their rows in order, the first rows of regions and the regions' numbers within their keys."""
+    region, least = list(region), BUFFER
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held, most, number = [], 0, least, 0
+
+        def whole(rows: pa.RecordBatch, ended: bool):
+            """Result of the regions that are complete; the rest, and the number of its region."""
+            new_key = np.logical_or.reduce([_changes(rows.column(k)) for k in region])
+            new = new_key.copy()
+            if gap is not None:
+                at = rows.column(order)
+                new[1:] |= pc.greater(pc.subtract(at.slice(1), at.slice(0, len(at) - 1)), gap).fill_null(False).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            count = np.arange(len(starts))
+            keyed = np.maximum.accumulate(np.where(new_key[starts], count, 0))
+            numbers = count - keyed + np.where(keyed == 0, number, 0)  # the first rows go on with their key
+            if ended:
+                return work(rows, starts, numbers), None, 0
+            if len(starts) == 1:
+                return None, rows, number
+            done = rows.slice(0, starts[-1])
+            return work(done, starts[:-1], numbers[:-1]), rows.slice(starts[-1]), int(numbers[-1])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n_held += b.num_rows
+            if n_held >= most:
+                got, rest, number = whole(pa.concat_batches(held), False)
+                held, n_held = [rest], rest.num_rows
+                most = max(least, 2 * n_held)  # a long region is put together a few times only
+                if got is not None:
+                    yield got
+        if held:
+            yield whole(pa.concat_batches(held), True)[0]
+
+    return df.select(*region, order, *VALUES).repartition(*region).sortWithinPartitions(*region, order, *VALUES).mapInArrow(stream, schema)
+
+
+def _region_columns(df: DataFrame, region: Sequence[str], gap: float | None) -> str:
+    types = dict(df.dtypes)
+    return ", ".join([*(f"`{k}` {types[k]}" for k in region), *(["region bigint"] if gap is not None else [])])
+
+
+def call_cnvs(df: DataFrame, region: Sequence[str], order: str, depth_factor: float, purity: float = 1.0, least_factor: float = 100.0, gap: float | None = None) -> DataFrame:
     """Stretches of two or more calls of a region with the same change: first and last ``order``, gain, frequency, calls.
 
-    ``df`` has ``depth_tumor``, ``depth_normal``, ``vaf_tumor`` and ``prob_het``.  A region (of
-    calls near one another, see ``ranges.sessionize``) is decoded in one task.
+    ``df`` has ``depth_tumor``, ``depth_normal``, ``vaf_tumor`` and ``prob_het``.  Regions
+    (of calls near one another) are named by ``region``; with ``gap`` these are keys within
+    which a region ends where the step to the next call exceeds it, and the result has
+    their number from 0 as ``region``.  Rows of a key stream through one task, of which a
+    region at most is held; many regions are decoded side by side.
     """
-    types = dict(df.dtypes)
     table = states(purity)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in region), f"first_pos {types[order]}, last_pos {types[order]}, gain int, frequency double, n_calls int, ln_no_change double"])
+    types = dict(df.dtypes)
+    schema = f"{_region_columns(df, region, gap)}, first_pos {types[order]}, last_pos {types[order]}, gain int, frequency double, n_calls int, ln_no_change double"
 
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        emit = emissions(pdf, table, depth_factor)
-        path = viterbi(emit, least_factor)
-        edge = np.flatnonzero(np.diff(path)) + 1
-        rows = []
-        for a, z in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(path)]])):
-            s = table.iloc[path[a]]
-            if s["gain"] != 0 and z - a > 1:
-                rows.append([*(pdf[k].iloc[0] for k in region), pdf[order].iloc[a], pdf[order].iloc[z - 1], int(s["gain"]), float(s["frequency"]), int(z - a), float(emit[a:z, 0].sum())])
-        return pd.DataFrame(rows, columns=[*region, "first_pos", "last_pos", "gain", "frequency", "n_calls", "ln_no_change"])
+    def decode(rows: pa.RecordBatch, starts: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+        code, distinct = _coded(rows)
+        first, end, state = stretches(lambda which: emissions(distinct.iloc[which], table, depth_factor), len(table), code, starts, np.diff(np.r_[starts, len(code)]), least_factor)
+        called = (table["gain"].to_numpy()[state] != 0) & (end - first > 1)
+        first, end, state = first[called], end[called], state[called]
+        unchanged = np.r_[emissions(distinct, table.iloc[:1], depth_factor)[:, 0][code], 0.0]
+        sums = np.add.reduceat(unchanged, np.column_stack([first, end]).ravel())[::2] if len(first) else np.empty(0)
+        out = {k: rows.column(k).take(pa.array(first)) for k in region}
+        if gap is not None:
+            out["region"] = pa.array(numbers[np.searchsorted(starts, first, side="right") - 1], pa.int64())
+        out |= {"first_pos": rows.column(order).take(pa.array(first)), "last_pos": rows.column(order).take(pa.array(end - 1)), "gain": pa.array(table["gain"].to_numpy()[state], pa.int32()), "frequency": pa.array(table["frequency"].to_numpy()[state])}
+        return pa.RecordBatch.from_pydict(out | {"n_calls": pa.array(end - first, pa.int32()), "ln_no_change": pa.array(sums)})
 
-    return df.groupBy(*region).applyInPandas(decode, schema)
+    return _by_region(df, region, order, gap, decode, schema)
 
 
-def region_likelihoods(df: DataFrame, region: Sequence[str], order: str, depth_factor: float, purity: float = 1.0, least_factor: float = 100.0) -> DataFrame:
-    """Log likelihood of each region over all states."""
-    types = dict(df.dtypes)
+def region_likelihoods(df: DataFrame, region: Sequence[str], order: str, depth_factor: float, purity: float = 1.0, least_factor: float = 100.0, gap: float | None = None) -> DataFrame:
+    """Log likelihood of each region over all states; for ``gap`` see ``call_cnvs``."""
     table = states(purity)
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in region), forward(emissions(pdf, table, depth_factor), least_factor)]], columns=[*region, "ln_likelihood"])
+    def total(rows: pa.RecordBatch, starts: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+        code, distinct = _coded(rows)
+        ll = log_likelihoods(lambda which: emissions(distinct.iloc[which], table, depth_factor), len(table), code, starts, np.diff(np.r_[starts, len(code)]), least_factor)
+        out = {k: rows.column(k).take(pa.array(starts)) for k in region}
+        if gap is not None:
+            out["region"] = pa.array(numbers, pa.int64())
+        return pa.RecordBatch.from_pydict(out | {"ln_likelihood": pa.array(ll)})
 
-    return df.groupBy(*region).applyInPandas(total, ", ".join([*(f"`{k}` {types[k]}" for k in region), "ln_likelihood double"]))
+    return _by_region(df, region, order, gap, total, f"{_region_columns(df, region, gap)}, ln_likelihood double")

@@ -129,8 +129,7 @@ def l3_depth_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def l4_cnv_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copy number changes in each region of parts of a supplier."""
-    regions = ranges.sessionize(_depths(spark, sf_dir), ["l_suppkey"], "pos", 500, out="region")
-    return cnv.call_cnvs(regions, ["l_suppkey", "region"], "pos", 1.0)
+    return cnv.call_cnvs(_depths(spark, sf_dir), ["l_suppkey"], "pos", 1.0, gap=500)
 
 
 def l5_region_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tesseral.formula.scenario import Scenario
@@ -163,6 +164,65 @@ def test_copy_numbers_against_brute_force():
     assert math.isclose(cnv.forward(emit, 20.0), math.log(sum(math.exp(x) for x in scores.values())))
 
 
+@pytest.fixture
+def calls(spark, monkeypatch):
+    """Calls of keys with doubled stretches and steps over 100, in small batches and buffers; the same by key and region, with emissions and the path found step by step."""
+    rnd, rows = random.Random(2), []
+    for key, n, far in ((1, 400, 37), (2, 90, 1000), (None, 60, 20), (3, 1, 1), (4, 5, 1), (5, 130, 64)):
+        pos = 0
+        for i in range(n):
+            pos += 150 if i and i % far == 0 else rnd.randint(0, 9)
+            d, more = rnd.randint(40, 80), 0.3 < i / n < 0.6
+            rows.append((key, pos, d * (2 if more else 1) + rnd.randint(-3, 3), d, rnd.choice((0.5, 0.75)) if more else rnd.choice((0.45, 0.5)), rnd.choice((0.0, 0.5, 0.99, 1.0))))
+    regions = {}
+    for key in {r[0] for r in rows}:
+        number, before = 0, None
+        for r in sorted(r for r in rows if r[0] == key):
+            number += before is not None and r[1] - before > 100
+            before = r[1]
+            regions.setdefault((key, number), []).append(r)
+    keep, change = cnv.transitions(len(cnv.states(1.0)), 100.0)
+    for k, x in regions.items():
+        emit = cnv.emissions(pd.DataFrame(x, columns=["chrom", "pos", *cnv.VALUES]), cnv.states(1.0), 1.0)
+        score, back = emit[0], []
+        for row in emit[1:]:
+            top = int(score.argmax())
+            back.append(np.where(score + keep >= score[top] + change, np.arange(len(row)), top))
+            score = np.maximum(score + keep, score[top] + change) + row
+        path = [int(score.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        regions[k] = ([r[1] for r in x], emit, path[::-1])
+    rnd.shuffle(rows)
+    for name, value in (("BUFFER", 50), ("SIDE_BY_SIDE", 3), ("BLOCK", 16)):
+        monkeypatch.setattr(cnv, name, value)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    yield spark.createDataFrame(rows, "chrom long, pos long, depth_tumor int, depth_normal int, vaf_tumor double, prob_het double"), regions
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_copy_numbers_of_streamed_regions(calls):
+    df, regions = calls
+    table, want = cnv.states(1.0), set()
+    for (key, number), (pos, emit, path) in regions.items():
+        a = 0
+        for z in range(1, len(path) + 1):
+            if z == len(path) or path[z] != path[a]:
+                if z - a > 1 and table["gain"][path[a]] != 0:
+                    want.add((key, number, pos[a], pos[z - 1], int(table["gain"][path[a]]), float(table["frequency"][path[a]]), z - a, round(float(emit[a:z, 0].sum()), 6)))
+                a = z
+    got = cnv.call_cnvs(df, ["chrom"], "pos", 1.0, gap=100)
+    assert got.columns == ["chrom", "region", "first_pos", "last_pos", "gain", "frequency", "n_calls", "ln_no_change"]
+    assert len(want) > 3 and sorted(((*r[:7], round(r[7], 6)) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert cnv.call_cnvs(df.where("false"), ["chrom"], "pos", 1.0, gap=100).count() == 0
+    # regions side by side, in blocks, find what each finds alone
+    every = list(regions.values())
+    emit, lens = np.concatenate([x[1] for x in every]), np.array([len(x[2]) for x in every])
+    first, end, state = cnv.stretches(emit.__getitem__, emit.shape[1], np.arange(len(emit)), np.cumsum(lens) - lens, lens, 100.0)
+    assert np.repeat(state, end - first).tolist() == [s for x in every for s in x[2]]
+
+
 def test_estimates():
     assert estimate.alignments_needed(0.01, 0.1) > estimate.alignments_needed(0.1, 0.1) >= 1
     assert math.isclose(sum(rd.isize_pmf(np.arange(0, 600, dtype=float), 300.0, 12.0)), 1)
