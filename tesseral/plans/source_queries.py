@@ -133,8 +133,7 @@ def l4_cnv_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l5_region_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = ranges.sessionize(_depths(spark, sf_dir), ["l_suppkey"], "pos", 500, out="region")
-    return cnv.region_likelihoods(regions, ["l_suppkey", "region"], "pos", 1.0)
+    return cnv.region_likelihoods(_depths(spark, sf_dir), ["l_suppkey"], "pos", 1.0, gap=500)
 
 
 QUERIES = v.named(a1_scan, a4_decompose, a4_skips, a5_fetch_windows, a7_valid_reads, a9_observations, a10_lineage, a15_delimited, l6_pmfs, a12_call_lines, a13_properties, a14_scenario, a16_plot, l3_depth_factor, l4_cnv_calls, l5_region_likelihood)

@@ -223,6 +223,23 @@ def test_copy_numbers_of_streamed_regions(calls):
     assert np.repeat(state, end - first).tolist() == [s for x in every for s in x[2]]
 
 
+def test_likelihoods_of_streamed_regions(calls):
+    df, regions = calls
+    keep, change = cnv.transitions(len(cnv.states(1.0)), 100.0)
+    want = {}
+    for k, (_, emit, _) in regions.items():
+        f = emit[0] - math.log(emit.shape[1])
+        for row in emit[1:]:
+            f = row + np.logaddexp(f.max() + math.log(np.exp(f - f.max()).sum()) + change, f + math.log(math.exp(keep) - math.exp(change)))
+        want[k] = f.max() + math.log(np.exp(f - f.max()).sum())
+    got = {(r["chrom"], r["region"]): r["ln_likelihood"] for r in cnv.region_likelihoods(df, ["chrom"], "pos", 1.0, gap=100).collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    # far emissions don't underflow, and what no state allows is impossible
+    far = np.array([[0.0, -5000.0], [-5000.0, 0.0], [-np.inf, -9000.0]])
+    assert math.isclose(cnv.forward(far, 20.0), math.log(0.5) + cnv.transitions(2, 20.0)[1] + cnv.transitions(2, 20.0)[0] - 9000.0, rel_tol=1e-9)
+    assert cnv.forward(np.array([[0.0, 0.0], [-np.inf, -np.inf], [0.0, 0.0]]), 20.0) == -math.inf
+
+
 def test_estimates():
     assert estimate.alignments_needed(0.01, 0.1) > estimate.alignments_needed(0.1, 0.1) >= 1
     assert math.isclose(sum(rd.isize_pmf(np.arange(0, 600, dtype=float), 300.0, 12.0)), 1)
