@@ -103,9 +103,12 @@ def compile_grid(scenario: Scenario, contig: str = "all", vartype: str = "SNV",
     for _, vafs, *_ in rows:
         at = dict(zip(samples, vafs))
         op_of.append([ops.setdefault((s, at[s], at[scenario.samples[s].contaminated_by] if scenario.samples[s].contaminated_by else None), len(ops)) for s in samples])
+    by_sample = sorted(ops, key=lambda x: samples.index(x[0]))  # the frequencies of a sample stand together
+    number = np.empty(len(ops), int)
+    number[[ops[x] for x in by_sample]] = np.arange(len(ops))
     return Grid(
         events, samples, np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float).reshape(len(rows), len(samples)), np.array([r[2] for r in rows]),
-        np.array(op_of).reshape(len(rows), len(samples)), np.array([r[3] for r in rows]).reshape(len(rows), len(samples)), np.array([r[4] for r in rows]), changes, list(ops),
+        number[np.array(op_of, dtype=int).reshape(len(rows), len(samples))], np.array([r[3] for r in rows]).reshape(len(rows), len(samples)), np.array([r[4] for r in rows]), changes, by_sample,
     )
 
 
@@ -241,7 +244,7 @@ def _from_stream(base: DataFrame, scenario: Scenario, grid: Grid, densities: boo
 
 @dataclass
 class _Pileups:
-    """Per variant: log likelihoods of all frequencies (NaN without observations), and per sample the count of observations, of rightly mapped ones, and whether all are for the reference."""
+    """Per variant: log likelihoods of all frequencies (0 without observations), and per sample the count of observations, of rightly mapped ones, and whether all are for the reference."""
 
     variant: pa.Array
     ll: np.ndarray
@@ -258,14 +261,14 @@ class _Pileups:
         of, n, n_samples = np.cumsum(new) - 1, int(new.sum()), len(g.samples)
         c = {k: rows.column(k).to_numpy(zero_copy_only=False) for k in ("sample", "alt", "ref", "wrong", "chance", "ln_top", "p_map", "for_ref")}
         per = lambda weights=None: np.bincount(of * n_samples + c["sample"], weights, n * n_samples).reshape(n, n_samples)
-        ll = np.full((n, len(g.ops)), np.nan)
+        ll = np.zeros((n, len(g.ops)))
         for s, name in enumerate(g.samples):
-            ops = np.array([i for i, x in enumerate(g.ops) if x[0] == name])
+            ops = [i for i, x in enumerate(g.ops) if x[0] == name]
             at = np.flatnonzero(c["sample"] == s)
             if len(at) and len(ops):
                 own, by = np.array([g.ops[i][1] for i in ops]), [g.ops[i][2] for i in ops]
                 by = None if by[0] is None else np.array(by)
-                ll[np.ix_(np.unique(of[at]), ops)] = _log_products(of[at], *(c[k][at] for k in ("alt", "ref", "wrong", "chance", "ln_top")), own, by, fractions[s])
+                ll[np.unique(of[at]), ops[0] : ops[-1] + 1] = _log_products(of[at], *(c[k][at] for k in ("alt", "ref", "wrong", "chance", "ln_top")), own, by, fractions[s])
         return _Pileups(v.filter(pa.array(new)), ll, per(), per(c["p_map"]), per((~c["for_ref"]).astype(float)) == 0)
 
     def part(self, a: int, z: int) -> _Pileups:
@@ -273,8 +276,7 @@ class _Pileups:
 
     def add_first(self, other: _Pileups) -> None:
         """Add what the one variant of ``other`` has to the first one here."""
-        both = ~np.isnan(self.ll[0]) & ~np.isnan(other.ll[0])
-        self.ll[0] = np.where(both, self.ll[0] + other.ll[0], np.where(np.isnan(self.ll[0]), other.ll[0], self.ll[0]))
+        self.ll[0] += other.ll[0]
         self.n[0] += other.n[0]
         self.dp[0] += other.dp[0]
         self.ref[0] &= other.ref[0]
@@ -340,7 +342,7 @@ def _explained(g: Grid, names: list[str], variant: pa.Array, cube: np.ndarray, c
             ruled_out |= clear[:, s : s + 1] & g.rules_out[:, s][None, :]
     joint = []
     for k in range(len(names)):
-        ll = np.where(np.isnan(cube[k]), 0.0, cube[k])
+        ll = np.where(np.isnan(cube[k]), 0.0, cube[k]) if np.isnan(cube[k].min(initial=0.0)) else cube[k]
         j = np.take(ll, g.op_of[:, 0], axis=1)
         for s in range(1, n_samples):
             j += np.take(ll, g.op_of[:, s], axis=1)
@@ -416,8 +418,9 @@ def _lse(x: np.ndarray) -> np.ndarray:
         return np.full(x.shape[0], -np.inf)
     top = x.max(axis=-1)
     safe = np.where(np.isfinite(top), top, 0.0)
+    parts = x - safe[..., None]
     with np.errstate(divide="ignore"):
-        return safe + np.log(np.exp(x - safe[..., None]).sum(axis=-1))
+        return safe + np.log(np.exp(parts, out=parts).sum(axis=-1))
 
 
 def _lse_axis0(x: np.ndarray) -> np.ndarray:
